@@ -21,7 +21,7 @@ def fingerprints(words: DataFrame, keep: list[str], n: str = "n") -> DataFrame:
     no ``slice`` here: inside a lambda it would copy the whole array for each element.
     """
     around = lambda x, at, js: [F.get(x, at + j) for j in js]
-    d = words.select(*keep, "w", n, gram_hashes(F.col("h"), GRAM).alias("g"))
+    d = words.select(*keep, "w", n, gram_hashes("h", GRAM).alias("g"))
     d = d.withColumn("least", F.when(F.size("g") > GUARD, F.transform(F.sequence(F.lit(0), F.size("g") - (GUARD + 1)), lambda p: F.least(*around("g", p, range(GUARD + 1))))))
     picks = F.when(F.size("g") > GUARD, F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.greatest(*around("least", i, range(-GUARD, 1))) == F.get("g", i)))
     d = d.withColumn("picks", F.concat(F.array(F.lit(None).cast("int")), F.coalesce(picks, F.array().cast("array<int>"))))

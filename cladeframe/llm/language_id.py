@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -159,6 +161,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Only the text decides a prediction. Repeated rows give repeated results, an empty table gives
     none, other columns are not carried. If no training row has a language, all rows are ``und``.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

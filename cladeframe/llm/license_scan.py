@@ -69,7 +69,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
     grams = F.broadcast(template_grams(spark, templates))
     key = ["doc_id", "text_hash"]
     d = docs.select(c(id_col).alias("doc_id"), F.xxhash64(c(text_col)).alias("text_hash"), alnum_words(c(text_col).cast("string")).alias("w"))
-    d = d.select(*key, "w", gram_hashes(word_hashes(c("w")), K).alias("g"))
+    d = d.withColumn("h", word_hashes(c("w"))).select(*key, "w", gram_hashes("h", K).alias("g"))
     # Position -1 stands for the document itself and matches nothing.
     d = d.select(*key, "w", "g", F.explode_outer(F.sequence(F.lit(-1), F.size("g") - 1)).alias("p")).withColumn("own", F.get("g", c("p")))
     votes = d.join(grams, c("own") == c("gram"), "left").where(c("template").isNotNull() | (c("p") < 0))

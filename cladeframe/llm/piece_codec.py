@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 BLANK = "▁"
 #: Longest word for which merges run as arrays over all words at once; longer ones use a heap.
 LONG = 200
@@ -268,6 +270,7 @@ def encode_pieces(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", t
     Repeated rows give repeated results; an empty table gives none; other columns are not carried.
     No row is shuffled: memory is bound by ``rows_at_once`` texts and the cache of words.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model_file))
 

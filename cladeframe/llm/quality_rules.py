@@ -25,7 +25,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), blank_words(text).alias("w"))
     d = d.select("*", word_hashes(c("w")).alias("h"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     d = d.select(
-        "doc_id", gram_hashes(c("h"), WINDOW).alias("g"), F.size("w").cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "doc_id", gram_hashes("h", WINDOW).alias("g"), F.size("w").cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("n_lines"),
         F.size(F.array_distinct("h")).alias("n_distinct"), F.regexp_count("t", F.lit(r"[A-Z]{2,}")).alias("n_shout"), F.regexp_count("t", F.lit("!")).alias("n_exclaim"), F.regexp_count("t", F.lit("[0-9]")).alias("n_digits"),
     )

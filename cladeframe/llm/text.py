@@ -2,6 +2,7 @@
 
 Arrays made here are exploded with ``explode_outer``: for ``explode`` the optimizer adds a filter on the
 array's size below the projections that make it, which would evaluate all of them again and again.
+For the same reason no filter stands on such an array: it would be pushed below them.
 Inside a lambda elements are taken with ``get``; ``slice`` would copy the whole array for each element.
 """
 
@@ -38,8 +39,11 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def gram_hashes(hashes: Column, k: int) -> Column:
-    """64-bit hashes of the k-grams of an array of hashes; empty if it has fewer than k."""
+def gram_hashes(hashes: str, k: int) -> Column:
+    """64-bit hashes of the k-grams of a column of hashes; empty if it has fewer than k.
+
+    The hashes must be a column of their own: an expression would be evaluated for each gram.
+    """
     n = F.size(hashes)
     grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
     return F.when(n >= k, grams).otherwise(F.array().cast("array<bigint>"))

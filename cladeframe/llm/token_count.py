@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: The byte-level pre-token pattern, a fixed value of the tokenizer's format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -48,6 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
     Null text counts as empty: 0 bytes and 0 tokens. Repeated rows give repeated results, and an
     empty table gives no rows. Other columns of the input are not carried.
     """
+    small_batches(docs.sparkSession)
     from pathlib import Path
 
     from tokenizers import Tokenizer
