@@ -42,11 +42,11 @@ def attach(tree: Tree, branch: int, taxon: str) -> Tree:
 
 
 def interchanges(tree: Tree) -> list[Tree]:
-    """All trees one nearest-neighbour interchange away."""
+    """All trees one nearest-neighbour interchange away, two for each inner branch of a binary tree."""
     kids, out = tree.children(), []
     for v in range(1, len(tree.parent)):
         if kids[v]:
-            for other in (k for k in kids[tree.parent[v]] if k != v):
+            for other in [k for k in kids[tree.parent[v]] if k != v][:1]:
                 for inner in kids[v]:
                     t = copy.deepcopy(tree)
                     t.parent[other], t.parent[inner] = v, tree.parent[v]
@@ -71,6 +71,20 @@ def allowed(tree: Tree, taxa: list[str], positive: frozenset[int], negative: fro
     return positive <= have and not negative & have
 
 
+def may_become_allowed(tree: Tree, taxa: list[str], positive: frozenset[int], negative: frozenset[int]) -> bool:
+    """For a tree of some of the taxa: positive constraints, cut down to them, must fit all its splits. Negative
+    ones are looked at when all taxa are there."""
+    here = sum(1 << i for i, t in enumerate(taxa) if t in set(filter(None, tree.label)))
+    if here == (1 << len(taxa)) - 1:
+        return allowed(tree, taxa, positive, negative)
+    sides = [s & here for s in splits(tree, taxa)]
+
+    def fits(a: int, b: int) -> bool:
+        return not a & b or not a & (here ^ b) or not (here ^ a) & b or not (here ^ a) & (here ^ b)
+
+    return all(fits(p & here, s) for p in positive for s in sides)
+
+
 def search(data: Likelihood, taxa: list[str], seed: int, *, attachments: int = 50, rounds: int = 50, positive: frozenset[int] = frozenset(), negative: frozenset[int] = frozenset()) -> tuple[Tree, float]:
     """Random order of taxa; each goes where lnL is best among at most ``attachments`` branches; then
     interchanges as long as the best of them gains. Constraints are checked before anything is scored."""
@@ -79,7 +93,8 @@ def search(data: Likelihood, taxa: list[str], seed: int, *, attachments: int = 5
     tree = star_of_three(order[:3])
     for name in order[3:]:
         places = rng.permutation(np.arange(1, len(tree.parent)))[:attachments]
-        tree = max((attach(tree, int(b), name) for b in places), key=data.lnl)
+        options = [attach(tree, int(b), name) for b in places]
+        tree = max([t for t in options if may_become_allowed(t, taxa, positive, negative)] or options, key=data.lnl)
     best = data.optimise_branches(tree, passes=2)
     for _ in range(rounds):
         options = [t for t in interchanges(tree) if allowed(t, taxa, positive, negative)]

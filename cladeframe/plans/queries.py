@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encode import AMINO_ACIDS, genetic_code
+from ..kernels.models import mk
 from ..operators import frequencies, patterns, resample, running, splits, trees
 from ..sources.views import FLAG_FULL, geo_nodes, priority_sites, returnflag_cells, returnflag_sites, table
+from .scoring import ancestral_states, optimise_tree, score_trees, search_replicates, site_likelihoods
 
 N_TAXA = 7
 ALL = (1 << N_TAXA) - 1
@@ -284,5 +286,41 @@ def q44_polymorphic_cells(s, d):
     return returnflag_cells(s, d).withColumn("states", F.bit_count("mask").cast("int")).groupBy("taxon", "states").agg(F.count("*").alias("cells"))
 
 
+TAXA7, TAXA5 = [str(t) for t in range(1, 8)], [str(t) for t in range(1, 6)]
+TREES7 = [(1, "(1:0.1,2:0.1,(3:0.1,(4:0.1,(5:0.1,(6:0.1,7:0.1):0.05):0.05):0.05):0.05);"), (2, "((1:0.2,7:0.2):0.1,(2:0.2,6:0.2):0.1,(3:0.2,(4:0.2,5:0.2):0.1):0.1);")]
+
+
+def k01_score_tree(s, d):
+    """Total and per-tree log-likelihoods of two stated trees under a three-state model."""
+    return score_trees(_collapsed(s, d), s.createDataFrame(TREES7, "tree_id int, newick string"), mk(3), TAXA7)
+
+
+def k02_newton_branch(s, d):
+    """Branch lengths optimised by Newton steps, on the collapsed priority matrix."""
+    counts = patterns.collapse(priority_sites(s, d)).select(F.lit(1).alias("rep"), "first_site", c("count").alias("n"), "p")
+    return optimise_tree(counts, "(1:0.1,2:0.1,(3:0.1,(4:0.1,5:0.1):0.1):0.1);", mk(3), TAXA5)
+
+
+def k03_bootstrap_search(s, d):
+    """A tree search for each of four bootstrap replicates of the priority matrix."""
+    p = patterns.collapse(priority_sites(s, d))
+    counts = resample.bootstrap_counts(p.select("first_site", "count"), resample.lcg_draws(s, 4, 300, 7), order="first_site")
+    return search_replicates(p, counts, mk(3), TAXA5)
+
+
+def k04_ancestral_states(s, d):
+    """Most probable state of each pattern at each inner node of a stated tree."""
+    out = ancestral_states(_collapsed(s, d), TREES7[0][1], mk(3), TAXA7)
+    return out.select("node", "first_site", "best")
+
+
+def k05_site_likelihoods(s, d):
+    """Log-likelihood of each original site: scored once for each pattern, then restored."""
+    sites = returnflag_sites(s, d)
+    p = patterns.collapse(sites)
+    lnl = site_likelihoods(p, s.createDataFrame(TREES7[:1], "tree_id int, newick string"), mk(3), TAXA7)
+    return patterns.uncollapse(sites, p.join(lnl, "first_site").select("p", "lnl")).select("site", F.round("lnl", 6).alias("lnl"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in sorted(globals().items()) if k.startswith("q") and k[1:3].isdigit()}
+    return {k: f for k, f in sorted(globals().items()) if k[0] in "qk" and k[1:3].isdigit()}

@@ -73,3 +73,17 @@ def ancestral_states(patterns: DataFrame, newick: str, model: Model, taxa: list[
                     yield pd.DataFrame({"node": node, "first_site": b["first_site"], "best": probs.argmax(1), "probs": list(probs)})
 
     return patterns.select("p", "count", "first_site").mapInPandas(run, "node int, first_site long, best int, probs array<double>")
+
+
+def optimise_tree(weighted: DataFrame, newick: str, model: Model, taxa: list[str]) -> DataFrame:
+    """Branch lengths that maximise lnL for each data set of ``weighted`` (rep, first_site, n, p): (rep, newick,
+    lnl). A data set is a group of collapsed patterns and is one task."""
+    shared = weighted.sparkSession.sparkContext.broadcast((newick, model, taxa))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        text, m, names = shared.value
+        tree = parse_newick(text)
+        lnl = Likelihood(np.array(group["p"].tolist(), np.int64).T, names, group["n"].to_numpy(), m).optimise_branches(tree)
+        return pd.DataFrame({"rep": [int(group["rep"].iloc[0])], "newick": [write_newick(tree)], "lnl": [lnl]})
+
+    return weighted.groupBy("rep").applyInPandas(run, "rep int, newick string, lnl double")
