@@ -15,16 +15,16 @@ Small regions are compared in full. Nothing is capped; the result is exact up to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch, small_batches
-from .text import ascii_lower, blank_words, gram_hashes, word_hashes
+from .shingles import Hasher, mix, set_hash
 
 #: Size classes for parts grow by this factor.
 CLASS_RATIO = 1.5
@@ -36,19 +36,6 @@ BROADCAST_ROWS = 1_000_000
 WANTED_BITS = 24
 
 
-def shingle_set(h: str, k: int) -> Column:
-    """Sorted distinct hashes of the k-grams of a column of word hashes; of the whole sequence where it is
-    shorter; empty without words."""
-    return F.sort_array(F.array_distinct(F.when(F.size(h) >= k, gram_hashes(h, k)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))))
-
-
-def mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 class Classes:
     """Size classes and their numbers of parts. Sets of sizes a and b with a Jaccard similarity of at
     least num/den differ in at most (a + b) (den - num) / (den + num) elements."""
@@ -115,21 +102,22 @@ def _fold(x: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.n
     return low + (high << np.uint64(32)), np.bincount(cell, minlength=cells)
 
 
-def lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return np.diff(offsets), column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-
-
-def _with_signatures(sets: DataFrame, classes: Classes) -> DataFrame:
-    """(node, s) to (node, signature)."""
+def _described(docs: DataFrame, k: int, lower: bool, classes: Classes) -> DataFrame:
+    """(doc_id, text) to (doc_id, node, n_shingles, sigs): the hash of the set, its size and its part signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(alnum=False, lower=lower)
         for batch in batches:
-            n, values = lists(batch.column(1))
-            rows, sigs = signatures(n.astype(np.int64), values, classes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sigs.view(np.int64))], ["node", "sig"])
+            sets = [np.unique(g) for g in hasher.grams(batch.column(1), k)]
+            n = np.array([len(s) for s in sets], np.int64)
+            rows, sigs = signatures(n, np.concatenate(sets) if sets else np.array([], np.uint64), classes)
+            by = np.argsort(rows, kind="stable")
+            offsets = np.searchsorted(rows[by], np.arange(len(n) + 1)).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sigs[by].view(np.int64)))
+            node = np.array([set_hash(s, 51) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(n), values], ["doc_id", "node", "n_shingles", "sigs"])
 
-    return sets.mapInArrow(run, "node long, sig long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, sigs array<bigint>")
 
 
 def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
@@ -147,16 +135,24 @@ def in_table(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return ((table[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32)) & 1).astype(bool)
 
 
-def wanted(nodes: DataFrame, sets: DataFrame, bits: int = WANTED_BITS) -> DataFrame:
-    """One row (node, s) for each of ``nodes``, from the rows of ``sets``. A table of bits of fixed size
-    sorts out most of the other rows before any shuffle; a join takes the rest."""
-    shared = sets.sparkSession.sparkContext.broadcast(bit_table(nodes.select("node"), bits))
+def wanted(nodes: DataFrame, docs: DataFrame, k: int, seed: int, hasher: dict, described: Callable[[np.ndarray], np.ndarray] = np.unique, bits: int = WANTED_BITS) -> DataFrame:
+    """One row (node, s) for each of ``nodes``, from the texts (doc_id, text). ``described`` makes s of a text's
+    k-gram hashes, and the node is its hash. A table of bits of fixed size sorts out most of the other texts before any
+    shuffle; a join takes the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select("node"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Hasher(**hasher)
         for batch in batches:
-            yield batch.filter(pa.array(in_table(shared.value, batch.column(0).to_numpy().view(np.uint64))))
-
-    found = sets.select("node", "s").mapInArrow(run, "node long, s array<bigint>")
+            found = [(set_hash(s, seed), s) for s in map(described, words.grams(batch.column(1), k)) if len(s)]
+            node = np.array([x[0] for x in found], np.uint64)
+            keep = np.flatnonzero(in_table(shared.value, node))
+            values = [found[i][1] for i in keep]
+            offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            data = np.concatenate(values) if values else np.array([], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(data.view(np.int64)))], ["node", "s"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "node long, s array<bigint>")
     return found.groupBy("node").agg(F.first("s").alias("s")).join(nodes.select("node"), "node", "left_semi")
 
 
@@ -181,17 +177,15 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("the threshold is too low for the size classes")
     small_batches(spark)
     scratch, classes = Scratch(spark, "jaccard"), Classes(num, den)
-    text = F.coalesce(c(text_col).cast("string"), F.lit(""))
-    d = docs.select(c(id_col).alias("doc_id"), word_hashes(blank_words(ascii_lower(text) if lower else text)).alias("h"))
-    d = d.select("doc_id", shingle_set("h", k).alias("s"))
-    d = d.select("doc_id", "s", F.xxhash64("s", F.lit(1)).alias("node"))
-    slim = scratch.write(d.select("doc_id", "node", F.size("s").cast("long").alias("n_shingles")), "slim")
-    occ = _with_signatures(d.select("node", "s"), classes)
+    d = docs.select(c(id_col).alias("doc_id"), c(text_col).cast("string").alias("text"))
+    known = scratch.write(_described(d, k, lower, classes), "sets")
+    slim = known.select("doc_id", "node", "n_shingles")
+    occ = known.select("node", F.explode("sigs").alias("sig"))
     pivots = scratch.write(occ.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("sig", "pivot"), "pivots")
     few = pivots.count() <= BROADCAST_ROWS
     region = scratch.write(occ.join(F.broadcast(pivots) if few else pivots, "sig").select(c("sig").alias("region"), "node", "pivot").distinct(), "regions")
     nodes = region.select("node").distinct()
-    sets = scratch.write(wanted(nodes, d.select("node", "s")), "sets")
+    sets = scratch.write(wanted(nodes, d, k, 51, {"alnum": False, "lower": lower}), "wanted")
 
     links = None
     pairs = region.where("node <> pivot").select(c("node").alias("u"), c("pivot").alias("v")).distinct()
