@@ -30,10 +30,10 @@ def golden(f: Callable[[float], float], low: float, high: float, precision: floa
     return (p, fp) if fp > fq else (q, fq)
 
 
-def optimise_gtr(masks: np.ndarray, taxa: list[str], counts: np.ndarray, tree: Tree, freqs: list[float], *, gamma: bool = False, invariant: bool = False, n_classes: int = 4, passes: int = 6, precision: float = 0.01) -> tuple[dict, float]:
+def optimise_gtr(masks: np.ndarray, taxa: list[str], counts: np.ndarray, tree: Tree, freqs: list[float], *, rates: list[float] | None = None, gamma: bool = False, invariant: bool = False, n_classes: int = 4, passes: int = 30, precision: float = 0.01) -> tuple[dict, float]:
     """Maximise lnL over exchange rates (GT fixed to 1), frequencies, the shape and the share of invariant
     sites, each in turn by golden section in its logarithm or logit, with the branches between passes."""
-    x = {"rates": [1.0] * 5, "freqs": list(freqs), "alpha": 0.5 if gamma else None, "pinv": 0.1 if invariant else 0.0}
+    x = {"rates": list(rates or [1.0] * 5), "freqs": list(freqs), "alpha": 0.5 if gamma else None, "pinv": 0.1 if invariant else 0.0}
 
     def data(p: dict) -> Likelihood:
         f = np.array(p["freqs"]) / sum(p["freqs"])
