@@ -9,8 +9,9 @@ In each region the member of the least id is the pivot. All members are measured
 links whole groups of near copies by as many pairs as they have members. Regions that still hold
 documents of different components are cut into rings of the threshold's width around their pivot.
 By the triangle inequality linked documents lie in the same ring or in neighbouring rings: each ring,
-with the documents of the ring inside it, is a region of the next round, which has its own pivot.
-Small regions are compared in full. Nothing is capped; the result is exact up to 64-bit hashes.
+with the documents of the ring inside it, is dealt again by another hash. Linked documents agree on a
+part of every deal, while others, which may have agreed on a part that is all a common line, soon do
+not. The parts are the regions of the next round, which have pivots of their own. Small regions are compared in full. Nothing is capped; the result is exact up to 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ class Classes:
         return self.of(n * self.den // self.num)
 
 
-def signatures(n: np.ndarray, values: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures of sets, given by sizes and concatenated elements: (row of the set, signature)."""
+def signatures(n: np.ndarray, values: np.ndarray, classes: Classes, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Part signatures of sets, given by sizes and concatenated elements: (row of the set, signature).
+    ``deal`` numbers independent ways to deal the elements out."""
     rows, sigs = [], []
     own, top = classes.of(n), classes.above(n)
     starts = np.cumsum(n) - n
@@ -70,7 +72,7 @@ def signatures(n: np.ndarray, values: np.ndarray, classes: Classes) -> tuple[np.
         size, level = n[chosen], (own + step)[chosen]
         parts = classes.parts[level]
         at = np.repeat(starts[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        x = mix(values[at], 1)
+        x = mix(values[at], 1 + 100 * deal)
         first = np.cumsum(parts) - parts
         part = (mix(x, 2) % np.repeat(parts, size).astype(np.uint64)).astype(np.int64)
         cell, cells = np.repeat(first, size) + part, int(parts.sum())
@@ -85,7 +87,7 @@ def signatures(n: np.ndarray, values: np.ndarray, classes: Classes) -> tuple[np.
         for e in np.flatnonzero(~full):
             k = which[e]
             own_x = values[starts[chosen[k]] : starts[chosen[k]] + size[k]]
-            y = mix(own_x, 5)
+            y = mix(own_x, 5 + 100 * deal)
             m = int(parts[k])
             again, _ = _fold(y, (mix(y, 6) % np.uint64(m)).astype(np.int64), m)
             rows.append(np.full(m, chosen[k]))
@@ -120,6 +122,24 @@ def _described(docs: DataFrame, k: int, lower: bool, classes: Classes) -> DataFr
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, sigs array<bigint>")
 
 
+def _dealt_again(members: DataFrame, sets: DataFrame, classes: Classes, deal: int) -> DataFrame:
+    """Regions (region, node, component, core) divided by the part signatures of another deal: linked documents agree
+    on a part of every deal, so they stay together, while others part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            rows, sigs = signatures(np.diff(offsets).astype(np.int64), values, classes, deal)
+            out = batch.select([0, 1, 2, 3]).take(pa.array(rows))
+            region = mix(out.column(0).to_numpy().view(np.uint64) ^ sigs, 31 + deal).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(region), *out.columns[1:]], ["region", "node", "component", "core"])
+
+    rows = members.select("region", "node", "component", "core").join(sets, "node").select("region", "node", "component", "core", "s")
+    return rows.mapInArrow(run, "region long, node long, component long, core boolean")
+
+
 def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
     """A table of 2**bits bits with those of the numbers (64-bit hashes) set; at most 2**(bits - 5) rows reach the driver."""
     bit = F.pmod(F.col(numbers.columns[0]), F.lit(1 << bits))
@@ -187,7 +207,7 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     nodes = region.select("node").distinct()
     sets = scratch.write(wanted(nodes, d, k, 51, {"alnum": False, "lower": lower}), "wanted")
 
-    links = None
+    links, deal = None, 0
     pairs = region.where("node <> pivot").select(c("node").alias("u"), c("pivot").alias("v")).distinct()
     while True:
         measured = scratch.write(_measure(pairs, sets), "measured")
@@ -212,6 +232,8 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         # Each document in its own ring, and as a guest in the next one.
         large = large.select(F.explode(F.array(F.struct(c("ring").alias("ring"), F.lit(True).alias("core")), F.struct((c("ring") + 1).alias("ring"), F.lit(False).alias("core")))).alias("r"), "region", "pivot", "node", "component")
         large = large.select(F.xxhash64("region", "pivot", "r.ring").alias("region"), "node", "component", "r.core")
+        deal += 1
+        large = scratch.write(_dealt_again(large, sets, classes, deal), "dealt")
         rings = large.groupBy("region").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core")).where("core and a < b").select("region", "pivot", "size")
         large = scratch.write(large.join(rings, "region"), "rings")
         other = small.select("region", c("node").alias("v"), c("component").alias("cv"))
