@@ -31,6 +31,8 @@ from .shingles import Hasher, mix, set_hash
 CLASS_RATIO = 1.5
 #: Regions of up to so many documents are compared in full.
 SMALL = 12
+#: Open regions around a pivot of up to so many shingles are dealt again.
+DEAL_AGAIN = 300
 #: A table of up to so many rows of two numbers is broadcast (some 50 MB).
 BROADCAST_ROWS = 1_000_000
 #: Bits of the table that holds which sets are wanted back; its size is fixed, hits beyond it are joined away.
@@ -207,7 +209,7 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     nodes = region.select("node").distinct()
     sets = scratch.write(wanted(nodes, d, k, 51, {"alnum": False, "lower": lower}), "wanted")
 
-    links, deal = None, 0
+    links, deal, members = None, 0, F.bit_xor(F.xxhash64("node"))
     pairs = region.where("node <> pivot").select(c("node").alias("u"), c("pivot").alias("v")).distinct()
     while True:
         measured = scratch.write(_measure(pairs, sets), "measured")
@@ -220,21 +222,27 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         # Regions whose members are all of one component need no more pairs.
         member = region.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         member = scratch.write(member.select("region", "node", "pivot", "component"), "members")
-        open_ = member.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-        open_ = scratch.write(open_.select("region", "size"), "open")
+        open_ = member.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), members.alias("m")).where("a < b")
+        # Long similar texts agree on many parts: of regions of the same members one is enough.
+        open_ = scratch.write(open_.groupBy("size", "m").agg(F.min("region").alias("region")).select("region", "size"), "open")
         if not open_.limit(1).count():
             break
         member = member.join(open_, "region")
         ring = F.floor((c("either") - c("both")) * den / (c("either") * (den - num))).cast("int")
+        size_of = sets.select(c("node").alias("pivot"), F.size("s").alias("n"))
         tested = measured.select(c("u").alias("node"), c("v").alias("pivot"), "both", "either")
         small = member.where(c("size") <= SMALL).select("region", "node", "component")
-        large = member.where((c("size") > SMALL) & (c("node") != c("pivot"))).join(tested, ["node", "pivot"]).withColumn("ring", ring)
+        large = member.where((c("size") > SMALL) & (c("node") != c("pivot"))).join(tested, ["node", "pivot"]).withColumn("ring", ring).join(size_of, "pivot")
         # Each document in its own ring, and as a guest in the next one.
-        large = large.select(F.explode(F.array(F.struct(c("ring").alias("ring"), F.lit(True).alias("core")), F.struct((c("ring") + 1).alias("ring"), F.lit(False).alias("core")))).alias("r"), "region", "pivot", "node", "component")
-        large = large.select(F.xxhash64("region", "pivot", "r.ring").alias("region"), "node", "component", "r.core")
+        large = large.select(F.explode(F.array(F.struct(c("ring").alias("ring"), F.lit(True).alias("core")), F.struct((c("ring") + 1).alias("ring"), F.lit(False).alias("core")))).alias("r"), "region", "pivot", "node", "component", "n")
+        large = large.select(F.xxhash64("region", "pivot", "r.ring").alias("region"), "node", "component", "r.core", "n")
+        # Long texts have many parts, and rarely agree on one by chance: they keep their rings.
         deal += 1
-        large = scratch.write(_dealt_again(large, sets, classes, deal), "dealt")
-        rings = large.groupBy("region").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core")).where("core and a < b").select("region", "pivot", "size")
+        large = large.withColumn("short", c("n") <= DEAL_AGAIN)
+        again = _dealt_again(large.where("short"), sets, classes, deal)
+        large = scratch.write(again.unionByName(large.where("not short").select("region", "node", "component", "core")), "dealt")
+        rings = large.groupBy("region").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core"), members.alias("m")).where("core and a < b")
+        rings = rings.groupBy("size", "m").agg(F.min_by("pivot", "region").alias("pivot"), F.min("region").alias("region")).select("region", "pivot", "size")
         large = scratch.write(large.join(rings, "region"), "rings")
         other = small.select("region", c("node").alias("v"), c("component").alias("cv"))
         full = small.withColumnRenamed("node", "u").join(other, "region").where((c("u") > c("v")) & (c("component") != c("cv"))).select("u", "v")
