@@ -29,7 +29,7 @@ from .shingles import Hasher, mix, set_hash
 
 #: Size classes for parts grow by this factor.
 CLASS_RATIO = 1.5
-#: Regions of up to so many documents are compared in full.
+#: Regions of up to so many documents are compared in full; each round doubles it, so that rounds end.
 SMALL = 12
 #: Open regions around a pivot of up to so many shingles are dealt again.
 DEAL_AGAIN = 300
@@ -231,8 +231,8 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         ring = F.floor((c("either") - c("both")) * den / (c("either") * (den - num))).cast("int")
         size_of = sets.select(c("node").alias("pivot"), F.size("s").alias("n"))
         tested = measured.select(c("u").alias("node"), c("v").alias("pivot"), "both", "either")
-        small = member.where(c("size") <= SMALL).select("region", "node", "component")
-        large = member.where((c("size") > SMALL) & (c("node") != c("pivot"))).join(tested, ["node", "pivot"]).withColumn("ring", ring).join(size_of, "pivot")
+        small = member.where(c("size") <= SMALL << deal).select("region", "node", "component")
+        large = member.where((c("size") > SMALL << deal) & (c("node") != c("pivot"))).join(tested, ["node", "pivot"]).withColumn("ring", ring).join(size_of, "pivot")
         # Each document in its own ring, and as a guest in the next one.
         large = large.select(F.explode(F.array(F.struct(c("ring").alias("ring"), F.lit(True).alias("core")), F.struct((c("ring") + 1).alias("ring"), F.lit(False).alias("core")))).alias("r"), "region", "pivot", "node", "component", "n")
         large = large.select(F.xxhash64("region", "pivot", "r.ring").alias("region"), "node", "component", "r.core", "n")
