@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup: by content-defined chunks of lines, and by whole repeated runs of lines."""
 
 from __future__ import annotations
 
@@ -61,3 +61,48 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn("n_lines", total.cast("long")).withColumn("n_removed", F.when(c("_gone").isNotNull(), total - lines("_kept")).otherwise(0).cast("long"))
     out = out.withColumn(text_col, F.when(c("_gone").isNotNull(), unmarked(c("_kept"))).otherwise(c(text_col)))
     return out.select(*docs.columns, "n_lines", "n_removed")
+
+
+#: A break before a line that has a word; blank lines stay with the line before them.
+WORDED = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
+
+
+def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove every line of the runs of two or more lines that stand elsewhere too, whatever lies around them.
+
+    A run repeats if each two neighbouring lines of it do, so no boundary can hide a part of it. Blank lines
+    go with the line before them. Of the places of two neighbours the first stays, by id (null first), text hash
+    and position; those of all others go. A line that goes has an equal one at an earlier place, so each
+    different line of the corpus stays at one place at least. Single lines, and texts without any word, stay.
+    Neighbours are compared by SHA-256.
+
+    Rows and columns are those of ``dedup_lines``. A text of which no word is left becomes empty.
+    """
+    c, key = F.col, ["_id", "_hash"]
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    digest = lambda x: F.unhex(F.sha2(x, 256))
+    d = docs.withColumn("_id", c(id_col)).withColumn("_hash", F.xxhash64(text_col))
+    lines = d.select(*key, F.split(text_col, WORDED).alias("_lines"))
+    # The line after is compared without its blank lines; a line with blank lines is a run by itself.
+    after = lambda i: F.substring_index(F.get("_lines", i + 1), "\n", 1)
+    pairs = F.transform("_lines", lambda x, i: F.when(i + 1 < F.size("_lines"), digest(F.concat(x, F.lit("\n"), after(i)))))
+    alone = F.transform("_lines", lambda x, i: F.when(F.contains(x, F.lit("\n")) & worded(x), digest(x)))
+    runs = lines.select(*key, F.explode_outer(F.array(F.struct(F.lit(2).alias("n"), pairs.alias("ids")), F.struct(F.lit(1).alias("n"), alone.alias("ids")))).alias("x"))
+    runs = runs.select(*key, c("x.n").alias("n"), F.posexplode_outer("x.ids").alias("at", "run")).where(c("run").isNotNull())
+    runs = runs.select("run", "n", F.struct(*key, "at").alias("place"))
+    again = runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(c("first") != c("last")).select("run", "first")
+    gone = runs.join(again, "run").where(c("place") != c("first"))
+    gone = gone.select("place.*", F.explode(F.sequence(c("place.at"), c("place.at") + c("n") - 1)).alias("line"))
+    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
+    out = d.join(gone, c("_id").eqNullSafe(c("_i")) & (c("_hash") == c("_h")), "left")
+    # One mark for each line up to the last that goes, so that no line is sought in a list.
+    marks = F.transform("_gone", lambda x, k: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("_gone", k - 1), F.lit(-1)) - 1), F.lit("1")))
+    out = out.withColumn("_marks", F.split(F.array_join(marks, ""), ""))
+    out = out.withColumn("_lines", F.when(c("_gone").isNotNull(), F.split(text_col, WORDED)))
+    out = out.withColumn("_left", F.array_join(F.filter("_lines", lambda x, i: F.coalesce(F.get("_marks", i), F.lit("0")) == "0"), "\n"))
+    breaks = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
+    total = F.when(c(text_col).isNull(), 0).otherwise(breaks(c(text_col)) + 1)
+    left = F.when(worded(c("_left")), breaks(c("_left")) + 1).otherwise(0)
+    out = out.withColumn("n_lines", total.cast("long")).withColumn("n_removed", F.when(c("_gone").isNotNull(), total - left).otherwise(0).cast("long"))
+    out = out.withColumn(text_col, F.when(c("_gone").isNull(), c(text_col)).when(worded(c("_left")), c("_left")).otherwise(""))
+    return out.select(*docs.columns, "n_lines", "n_removed")

@@ -293,3 +293,25 @@ def test_compact_windows_cover_all_minima():
         for j in range(i + 9, 80):
             c = i + int(h[i : j + 1].argmin())
             assert sum(a <= i <= m <= j <= b and m == c for a, m, b in windows) == 1
+
+
+def test_whole_runs_go(spark, nothing):
+    rng = np.random.default_rng(31)
+    passages = ["\n".join(prose(int(rng.integers(1 << 30)), 8) for _ in range(n)) for n in (2, 3, 4, 7, 12, 30)]
+    passages.append("first line\n\n\n\nsecond line\n \nthird line")
+    rows = [(100 * i + j, f"own {i} {j}\nline {i} {j}\n{p}\nend {i} {j}") for i, p in enumerate(passages) for j in range(5)]
+    rows += [(1000 + i, p) for i, p in enumerate(passages)] + [(2000 + i, p + "\n\n") for i, p in enumerate(passages)]
+    rows += [(3000, "same\n" * 9), (3001, "lone line"), (3002, "lone line"), (3003, None), (3004, "\n\n"), (3005, "\n\n"), (None, passages[0])]
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(r.n_lines == len(t.split("\n")) for i, t in rows if t is not None for r in [got[i]])
+    for i, p in enumerate(passages):
+        for j in range(5):
+            kept = i > 0 and j == 0
+            assert got[100 * i + j].text == f"own {i} {j}\nline {i} {j}\n{p if kept else ''}{chr(10) if kept else ''}end {i} {j}"
+            assert got[100 * i + j].n_removed == (0 if kept else len(p.split("\n")))
+        assert got[1000 + i].text == got[2000 + i].text == ""
+    assert got[None].text == passages[0] and got[3000].text == "same" and got[3003].text is None
+    assert got[3001].text == got[3002].text == "lone line" and got[3004].text == got[3005].text == "\n\n"
+    left = {x for r in got.values() for x in (r.text or "").split("\n")}
+    assert {x for _, t in rows for x in (t or "").split("\n") if x.strip()} <= left
+    assert line_dedup.dedup_runs(nothing).count() == 0
