@@ -315,3 +315,14 @@ def test_whole_runs_go(spark, nothing):
     left = {x for r in got.values() for x in (r.text or "").split("\n")}
     assert {x for _, t in rows for x in (t or "").split("\n") if x.strip()} <= left
     assert line_dedup.dedup_runs(nothing).count() == 0
+
+
+def test_similar_passages_are_recalled(spark):
+    rows = []
+    for i in range(300):
+        w = [f"p{i}x{j}" for j in range(50)]
+        near = list(w)
+        near[10 + i % 30] = "changed"
+        rows += [(2 * i, f"{prose(500 + i, 30)} " + " ".join(w)), (2 * i + 1, " ".join(near) + f" {prose(900 + i, 30)}")]
+    got = {r.doc_id: r.class_id for r in passage_dedup.find_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(300)), len(got)
