@@ -326,3 +326,12 @@ def test_similar_passages_are_recalled(spark):
         rows += [(2 * i, f"{prose(500 + i, 30)} " + " ".join(w)), (2 * i + 1, " ".join(near) + f" {prose(900 + i, 30)}")]
     got = {r.doc_id: r.class_id for r in passage_dedup.find_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(300)), len(got)
+
+
+def test_all_places_of_a_minimum_are_tried(spark):
+    rows = []
+    for i in range(60):
+        w = [f"p{i}x{j}" for j in range(60)]
+        rows += [(2 * i, " ".join(w[12:47] + [f"a{i}x{j}" for j in range(20)] + w)), (2 * i + 1, " ".join([f"b{i}x{j}" for j in range(20)] + w))]
+    got = {r.doc_id: r for r in passage_dedup.find_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 120 and all(got[2 * i].passage_start == 55 and got[2 * i + 1].passage_start == 20 and got[2 * i].passage_words == 60 for i in range(60))
