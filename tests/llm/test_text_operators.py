@@ -335,3 +335,22 @@ def test_all_places_of_a_minimum_are_tried(spark):
         rows += [(2 * i, " ".join(w[12:47] + [f"a{i}x{j}" for j in range(20)] + w)), (2 * i + 1, " ".join([f"b{i}x{j}" for j in range(20)] + w))]
     got = {r.doc_id: r for r in passage_dedup.find_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == 120 and all(got[2 * i].passage_start == 55 and got[2 * i + 1].passage_start == 20 and got[2 * i].passage_words == 60 for i in range(60))
+
+
+def test_links_and_passages_are_whole(spark):
+    a, b = prose(41, 70), prose(42, 90)
+    near = [f"n{j}" for j in range(80)]
+    near2 = list(near)
+    near2[40] = "changed"
+    rows = [(i, f"{prose(600 + i, 20)} {a} {prose(700 + i, 20)}") for i in range(6)] + [(i, f"{prose(600 + i, 20)} {b} {prose(700 + i, 30)}") for i in range(6, 9)]
+    rows += [(9, f"{prose(609, 10)} {a} {prose(709, 25)} {b}"), (10, " ".join(near)), (11, " ".join(near2))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in passage_dedup.find_repeated_passages(d).collect()}
+    assert [got[i].n_links for i in range(12)] == [6] * 6 + [3] * 3 + [9, 1, 1]
+    assert got[9].passage_words == 90 and got[9].passage_start == 105 and got[10].passage_words == got[11].passage_words == 80
+    rest = passage_dedup.find_all_passages(d).collect()
+    mine = defaultdict(set)
+    for r in rest:
+        mine[r.doc_id].add((r.passage_start, r.passage_words, r.passage_class))
+    assert {x[:2] for x in mine[9]} == {(10, 70), (105, 90)} and len({x[2] for i in range(6) for x in mine[i]} | {x[2] for x in mine[9]}) == 2
+    assert all({x[:2] for x in mine[i]} == {(20, 70)} for i in range(6))
