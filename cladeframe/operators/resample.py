@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the generator x' = 16807 x mod (2**31 - 1).
 MULTIPLIER, MODULUS = 16807, 2147483647
+#: Draws made from one row.
+BLOCK = 4096
 
 
 def lcg_draws(spark: SparkSession, replicates: int, draws: int, seed: int) -> DataFrame:
@@ -16,6 +18,19 @@ def lcg_draws(spark: SparkSession, replicates: int, draws: int, seed: int) -> Da
     return reps.join(F.broadcast(jump)).select("rep", "draw", ((F.col("rep") + seed).cast("long") * F.col("m") % MODULUS).alias("x"))
 
 
+def lcg_replicates(patterns: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Draws as of ``lcg_draws``, as many for each replicate as the counts of ``patterns`` sum to. The power of the
+    multiplier is made bit by bit in each row, so no list of draws is on the driver."""
+    spark, c = patterns.sparkSession, F.col
+    total = patterns.agg(F.sum("count").alias("total")).where("total > 0")
+    reps = spark.range(1, replicates + 1).select(c("id").cast("int").alias("rep"))
+    blocks = reps.join(F.broadcast(total)).select("rep", "total", F.explode(F.sequence(F.lit(0), F.floor((c("total") - 1) / BLOCK))).alias("block"))
+    draws = blocks.repartition("rep", "block").select("rep", F.explode(F.sequence(c("block") * BLOCK + 1, F.least(c("total"), (c("block") + 1) * BLOCK))).alias("draw"))
+    powers = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(pow(MULTIPLIER, 1 << k, MODULUS)).cast("long").alias("m")) for k in range(40)])
+    x = F.aggregate(powers, (c("rep") + seed).cast("long"), lambda x, p: F.when(c("draw").bitwiseAND(p["bit"]) != 0, x * p["m"] % MODULUS).otherwise(x))
+    return draws.select("rep", "draw", x.alias("x"))
+
+
 def bootstrap_counts(patterns: DataFrame, draws: DataFrame, *, order: str, width: int = 64) -> DataFrame:
     """Counts of patterns per replicate: a draw x hits the pattern whose cumulative interval holds x mod N.
     The range join is an equi-join on buckets of ``width``, each pattern in the buckets it spans."""

@@ -302,9 +302,9 @@ def k02_newton_branch(s, d):
 
 
 def k03_bootstrap_search(s, d):
-    """A tree search for each of four bootstrap replicates of the priority matrix."""
+    """A tree search for each of four bootstrap replicates, of as many columns as the priority matrix has."""
     p = patterns.collapse(priority_sites(s, d))
-    counts = resample.bootstrap_counts(p.select("first_site", "count"), resample.lcg_draws(s, 4, 300, 7), order="first_site")
+    counts = resample.bootstrap_counts(p.select("first_site", "count"), resample.lcg_replicates(p, 4, 7), order="first_site")
     return search_replicates(p, counts, mk(3), TAXA5)
 
 

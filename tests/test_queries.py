@@ -57,3 +57,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("intervals").collect()}
     batch = {tuple(r) for r in interval_statistics(spark.read.parquet(DATA + "/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert got and got <= batch and len(batch) - len(got) <= 10
+
+
+def test_replicates_are_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import resample
+
+    p = spark.createDataFrame([(1, 5000), (2, 4321)], "first_site long, count long")
+    got = sorted(tuple(r) for r in resample.lcg_replicates(p, 2, 7).collect())
+    assert got == [(r, n, (r + 7) * pow(16807, n, 2**31 - 1) % (2**31 - 1)) for r in (1, 2) for n in range(1, 9322)]
+    seen = []
+    monkeypatch.setattr(queries, "search_replicates", lambda p, counts, *a: seen.append((p, counts)))
+    queries.k03_bootstrap_search(spark, DATA)
+    sites = seen[0][0].agg(F.sum("count")).first()[0]
+    assert {r["n"] for r in seen[0][1].groupBy("rep").agg(F.sum("n").alias("n")).collect()} == {sites}
