@@ -87,7 +87,7 @@ def may_become_allowed(tree: Tree, taxa: list[str], positive: frozenset[int], ne
 
 def search(data: Likelihood, taxa: list[str], seed: int, *, attachments: int = 50, rounds: int = 50, positive: frozenset[int] = frozenset(), negative: frozenset[int] = frozenset()) -> tuple[Tree, float]:
     """Random order of taxa; each goes where lnL is best among at most ``attachments`` branches; then
-    interchanges as long as the best of them gains. Constraints are checked before anything is scored."""
+    interchanges as long as one of them gains, the likeliest tried first. Constraints are checked before anything is scored."""
     rng = np.random.default_rng(seed)
     order = [taxa[i] for i in rng.permutation(len(taxa))]
     tree = star_of_three(order[:3])
@@ -98,7 +98,7 @@ def search(data: Likelihood, taxa: list[str], seed: int, *, attachments: int = 5
     best = data.optimise_branches(tree, passes=2)
     for _ in range(rounds):
         options = [t for t in interchanges(tree) if allowed(t, taxa, positive, negative)]
-        scored = sorted(((data.lnl(t), i) for i, t in enumerate(options)), reverse=True)[:5]
+        scored = sorted(((data.lnl(t), i) for i, t in enumerate(options)), reverse=True)
         gained = False
         for _, i in scored:
             lnl = data.optimise_branches(options[i], passes=2)

@@ -82,3 +82,23 @@ def test_search_finds_the_tree():
     assert lnl == pytest.approx(data.optimise_branches(start), abs=0.05) and len({splits(t, list('abcdef')) for t in interchanges(tree)}) == 6 == len(interchanges(tree))
     other, _ = search(data, list("abcdef"), 3, negative=frozenset([3]))
     assert 3 not in splits(other, list("abcdef"))
+
+
+def test_search_tries_all_interchanges():
+    taxa = list("abcdef")
+
+    class Misleading:
+        better = None
+
+        def lnl(self, tree):
+            return -1.0 if splits(tree, taxa) == self.better else 0.0
+
+        def optimise_branches(self, tree, passes):
+            return -self.lnl(tree)
+
+    data = Misleading()
+    start, _ = search(data, taxa, 3, rounds=0)
+    for neighbour in interchanges(start):
+        data.better = splits(neighbour, taxa)
+        found, lnl = search(data, taxa, 3)
+        assert splits(found, taxa) == data.better and lnl == 1
