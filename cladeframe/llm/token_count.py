@@ -13,15 +13,22 @@ from .scratch import small_batches
 #: The byte-level pre-token pattern, a fixed value of the tokenizer's format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Of a text of the sample so many characters are read.
+SAMPLE_CHARS = 100_000
 
-def _frequent(docs: DataFrame, text_col: str, tokenizer, specials: list[str], entries: int, sample_rows: int) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a bounded sample of texts. It only saves time: what it lacks is encoded."""
+
+def _frequent(docs: DataFrame, id_col: str, text_col: str, tokenizer, specials: list[str], entries: int, sample_rows: int) -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of a bounded sample of texts, picked by hash over all partitions, of long
+    texts the first SAMPLE_CHARS. It only saves time: what it lacks is encoded."""
     from collections import Counter
 
     import regex
 
     pattern, seen = regex.compile(PRE_TOKEN), Counter()
-    picked = docs.where(F.length(text_col) < 100_000).select(text_col).limit(sample_rows)
+    some = docs.where(F.col(text_col).isNotNull())
+    # About sample_rows of them; the limit only holds where many rows are equal.
+    one_in = max(1, some.count() // sample_rows)
+    picked = some.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(one_in)) == 0).select(F.substring(text_col, 1, SAMPLE_CHARS)).limit(2 * sample_rows)
     for (text,) in picked.collect():
         for part in _apart(text, specials):
             seen.update(pattern.findall(part))
@@ -42,7 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
     """Tokens of every whole text as a byte-level BPE tokenizer file gives them, without added special tokens.
 
     Tier one is a broadcast table of at most ``table_entries`` frequent pre-tokens and their
-    lengths, taken from ``sample_rows`` texts. Tier two encodes what the table lacks, once for each
+    lengths, taken from about ``sample_rows`` texts of all partitions. Tier two encodes what the table lacks, once for each
     worker, and keeps at most ``cache_entries`` lengths; the cache is emptied when full. Neither
     bound changes a result. Special strings inside a text count as one token each, as the
     tokenizer's default has it.
@@ -61,7 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
     tokenizer.no_padding()
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((raw, specials, _frequent(docs, text_col, tokenizer, specials, table_entries, sample_rows)))
+    shared = spark.sparkContext.broadcast((raw, specials, _frequent(docs, id_col, text_col, tokenizer, specials, table_entries, sample_rows)))
 
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex

@@ -354,3 +354,15 @@ def test_links_and_passages_are_whole(spark):
         mine[r.doc_id].add((r.passage_start, r.passage_words, r.passage_class))
     assert {x[:2] for x in mine[9]} == {(10, 70), (105, 90)} and len({x[2] for i in range(6) for x in mine[i]} | {x[2] for x in mine[9]}) == 2
     assert all({x[:2] for x in mine[i]} == {(20, 70)} for i in range(6))
+
+
+def test_frequent_pre_tokens_are_of_all_partitions(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(i, " alpha beta") for i in range(900)] + [(1000 + i, " gamma delta") for i in range(900)] + [(5000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    table = token_count._frequent(d, "doc_id", "text", t, [], 100, 200)
+    assert {" alpha", " beta", " gamma", " delta"} <= set(table)
+    long = spark.createDataFrame([(1, " epsilon" * 20000)], "doc_id long, text string")
+    assert " epsilon" in token_count._frequent(long, "doc_id", "text", t, [], 100, 200)
