@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .text import alnum_words, gram_hashes, word_hashes
 
 #: Words of a window, of a gram, and grams of a window. Any shared window of 10 words has the same
@@ -29,12 +30,10 @@ def fingerprints(words: DataFrame, keep: list[str], n: str = "n") -> DataFrame:
     return d.select(*keep, "w", n, "at", F.get("g", F.col("at")).alias("own"))
 
 
-def _runs(side: list[tuple[Column, Column]]) -> Column:
-    """How many leading pairs are equal."""
-    out = F.lit(0)
-    for a, b in reversed(side):
-        out = F.when(a == b, 1 + out).otherwise(0)
-    return out
+def _run_length(flags: Column, n: int) -> Column:
+    """How many of the ``n`` flags are true before the first that is not."""
+    first = F.array_position(flags, False)
+    return F.when(first == 0, n).otherwise(first - 1).cast("int")
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_rows: int = 200_000) -> DataFrame:
@@ -42,63 +41,72 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     A window is 10 consecutive words of an item; an item of fewer words is one window as a whole.
     Fingerprints of the items are broadcast, at most ``block_rows`` at once: they are counted first,
-    and a larger benchmark is taken in as many blocks of items, each with its own pass. A fingerprint
-    that both sides have is extended word by word to the left and right; a run of 10 words or more is
-    a hit. Items of fewer than 10 words are looked up by the hash of the whole item and compared.
+    and a larger benchmark is taken in as many blocks of items, each with its own pass. They carry the
+    number of a set of items, not the items, since a common opening may belong to all of them. A
+    fingerprint that both sides have is extended word by word to the left and right; a run of 10 words
+    or more is a hit. Items of fewer than 10 words are looked up by the hash of the whole item, all
+    lengths in one pass, and compared.
 
     One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
     Null text has no words; an item without words has no window; null item ids are left out of
     n_items, but their words still count as hit. Rows that agree in id and text give the same result
     as often as they occur. Other columns are not carried.
     """
-    c, key = F.col, ["doc_id", "text_hash"]
-    w = items.select(c(item_col).cast("string").alias("item"), alnum_words(c(item_text_col).cast("string")).alias("w")).groupBy("w").agg(F.collect_set("item").alias("items"))
+    c, key, scratch = F.col, ["doc_id", "text_hash"], Scratch(docs.sparkSession, "decontaminate")
+    w = items.select(c(item_col).cast("string").alias("item"), alnum_words(c(item_text_col).cast("string")).alias("w")).groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items"))
     w = w.withColumn("h", word_hashes(c("w"))).withColumn("n", F.size("w")).where("n > 0")
     long = fingerprints(w.where(c("n") >= SPAN), ["items"]).where(c("at").isNotNull())
-    context = [F.get("w", c("at") + j).alias(f"i{j + GUARD}") for j in range(-GUARD, SPAN)]
-    long = long.select(c("own").alias("gram"), *context, "items")
-    long = long.groupBy("gram", *[f"i{j}" for j in range(SPAN + GUARD)]).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    short = w.where(c("n") < SPAN).select("n", "w", F.xxhash64("h").alias("whole"), "items")
-    lengths = sorted(r[0] for r in short.select("n").distinct().collect())
-    rows = long.count()
-    blocks = max(1, -(-rows // block_rows))
+    # The words around a gram; those beyond the ends of the item are null.
+    around = lambda at: F.transform(F.array(*[F.lit(j) for j in range(-GUARD, SPAN)]), lambda j: F.get("w", at + j))
+    long = long.select(c("own").alias("gram"), around(c("at")).alias("phrase"), "items")
+    long = long.groupBy("gram", "phrase").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    short = w.where(c("n") < SPAN).select(F.xxhash64("h").alias("gram"), c("w").alias("phrase"), "items")
+    known = scratch.write(long.withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True))).withColumn("set_id", F.xxhash64("items")), "items")
+    sets = known.groupBy("set_id").agg(F.first("items").alias("items"))
+    known = known.drop("items")
+    size = known.select(F.count(F.when(~c("short"), 1)), F.count(F.when(c("short"), 1)), F.collect_set(F.when(c("short"), F.size("phrase")))).head()
+    lengths = sorted(size[2])
+    long, short = known.where("not short").drop("short"), known.where("short").drop("short")
+
+    def blocks(table: DataFrame, rows: int) -> list[DataFrame]:
+        n = max(1, -(-rows // block_rows))
+        return [table if n == 1 else table.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == b) for b in range(n)]
 
     d = docs.select(c(id_col).alias("doc_id"), F.xxhash64(c(text_col)).alias("text_hash"), alnum_words(c(text_col).cast("string")).alias("w"))
     d = d.select(*key, "w", word_hashes(c("w")).alias("h"), F.size("w").alias("n"))
     hits = []
-    for b in range(blocks):
-        part = long if blocks == 1 else long.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
+    for b, part in enumerate(blocks(long, size[0])):
         f = fingerprints(d, key)
         if b:
             f = f.where(c("at").isNotNull())
         f = f.join(F.broadcast(part), c("own") == c("gram"), "left").where(c("gram").isNotNull() | c("at").isNull())
-        # The text's words around the gram; those before its start are null.
-        f = f.select(*key, "n", "at", "items", *[f"i{j}" for j in range(SPAN + GUARD)], *[F.get("w", c("at") + j).alias(f"d{j + GUARD}") for j in range(-GUARD, SPAN)])
-        pair = lambda j: (c(f"d{j}"), c(f"i{j}"))
-        left = _runs([pair(GUARD - j) for j in range(1, GUARD + 1)])
-        right = _runs([pair(j) for j in range(SPAN, SPAN + GUARD)])
-        same = F.lit(True)
-        for j in range(GUARD, SPAN):
-            same &= c(f"d{j}") == c(f"i{j}")
-        f = f.select(*key, "n", c("at").isNull().alias("self"), "items", F.when(same, c("at") - left).alias("start"), F.when(same, c("at") + GRAM + right).alias("stop"))
+        f = f.select(*key, "n", "at", "set_id", F.transform(F.arrays_zip("phrase", around(c("at")).alias("mine")), lambda x: F.coalesce(x["phrase"] == x["mine"], F.lit(False))).alias("same"))
+        left = _run_length(F.reverse(F.slice("same", 1, GUARD)), GUARD)
+        right = _run_length(F.slice("same", SPAN + 1, GUARD), GUARD)
+        whole = ~F.array_contains(F.slice("same", GUARD + 1, GRAM), False)
+        f = f.select(*key, "n", c("at").isNull().alias("self"), "set_id", F.when(whole, c("at") - left).alias("start"), F.when(whole, c("at") + GRAM + right).alias("stop"))
         hits.append(f.where(c("self") | (c("stop") - c("start") >= SPAN)))
-    for k in lengths:
-        f = d.where(c("n") >= k).select(*key, "w", "h", F.explode_outer(F.sequence(F.lit(0), c("n") - k)).alias("start"))
-        f = f.withColumn("whole", F.xxhash64(F.slice("h", c("start") + 1, k)))
-        mine = short.where(c("n") == k).select("whole", c("w").alias("phrase"), "items")
-        f = f.join(F.broadcast(mine) if mine.count() <= block_rows else mine, "whole").where(F.slice("w", c("start") + 1, k) == c("phrase"))
-        hits.append(f.select(*key, F.lit(None).cast("int").alias("n"), F.lit(False).alias("self"), "items", "start", (c("start") + k).alias("stop")))
+    for part in blocks(short, size[1]) if lengths else []:
+        spans = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(c("n") >= k, F.transform(F.sequence(F.lit(0), c("n") - k), lambda i: F.struct(i.alias("start"), k.alias("k")))).otherwise(F.array().cast("array<struct<start:int,k:int>>"))))
+        f = d.select(*key, "w", "h", F.explode_outer(spans).alias("at")).select(*key, "w", c("at.start").alias("start"), c("at.k").alias("k"), F.xxhash64(F.slice("h", c("at.start") + 1, c("at.k"))).alias("own"))
+        f = f.join(F.broadcast(part), c("own") == c("gram")).where(F.slice("w", c("start") + 1, c("k")) == c("phrase"))
+        hits.append(f.select(*key, F.lit(None).cast("int").alias("n"), F.lit(False).alias("self"), "set_id", "start", (c("start") + c("k")).alias("stop")))
     found = hits[0]
     for h in hits[1:]:
         found = found.unionByName(h)
     # First by distinct span, so that a passage of many items counts once; then by document.
-    found = found.groupBy(*key, "start", "stop").agg(F.max("n").alias("n"), F.sum(c("self").cast("long")).alias("copies"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    out = found.groupBy(*key).agg(F.max("n").cast("long").alias("n_words"), F.max("copies").cast("int").alias("copies"), F.sort_array(F.collect_set(F.when(c("start").isNotNull(), F.struct("start", "stop")))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.groupBy(*key, "start", "stop").agg(F.max("n").alias("n"), F.sum(c("self").cast("long")).alias("copies"), F.collect_set("set_id").alias("sets"))
+    out = found.groupBy(*key).agg(F.max("n").cast("long").alias("n_words"), F.max("copies").cast("int").alias("copies"), F.sort_array(F.collect_set(F.when(c("start").isNotNull(), F.struct("start", "stop")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("total"))
 
     def add(acc: Column, s: Column) -> Column:
         fresh = F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], acc["upto"]))
         return F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), (acc["total"] + fresh).alias("total"))
 
-    out = out.withColumn("n_hit", F.aggregate("spans", zero, add)["total"]).withColumn("copies", F.explode_outer(F.sequence(F.lit(1), c("copies"))))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (c("n_hit") > 0).alias("contaminated"), "text_hash").drop("text_hash")
+    out = scratch.write(out.select(*key, "n_words", "copies", "sets", F.aggregate("spans", zero, add)["total"].alias("n_hit")), "hits")
+    # Items of the documents that have hits; the lists of items come in only here.
+    named = out.where(F.size("sets") > 0).select(*key, F.explode("sets").alias("set_id")).join(sets, "set_id").select(*key, F.explode("items").alias("item"))
+    named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items")).withColumnsRenamed({"doc_id": "i", "text_hash": "t"})
+    out = out.join(named, c("doc_id").eqNullSafe(c("i")) & c("text_hash").eqNullSafe(c("t")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    out = out.withColumn("copies", F.explode_outer(F.sequence(F.lit(1), c("copies"))))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (c("n_hit") > 0).alias("contaminated"))
