@@ -23,20 +23,57 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = scratch.write(rest.groupBy("u").agg(F.least(c("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "least")
         while True:
             up = least.select(c("node").alias("root"), c("root").alias("above"))
-            jumped = least.join(up, "root").select("node", c("above").alias("root"), (c("above") != c("root")).alias("moved"))
+            jumped = least.select("node", "root").join(up, "root").select("node", c("above").alias("root"), (c("above") != c("root")).alias("moved"))
             jumped = scratch.write(jumped, "jumped")
             moved = jumped.where("moved").limit(1).count()
             scratch.drop(least)
             least = jumped
             if not moved:
                 break
-        least = least.select("node", "root")
         if labels is None:
-            labels = scratch.write(least.withColumnRenamed("root", "component"), "labels")
+            labels = scratch.write(least.select("node", c("root").alias("component")), "labels")
         else:
             to = least.select(c("node").alias("component"), "root")
-            labels = scratch.write(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            old, labels = labels, scratch.write(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            scratch.drop(old)
         a, b = least.select(c("node").alias("u"), c("root").alias("ru")), least.select(c("node").alias("v"), c("root").alias("rv"))
-        rest = scratch.write(rest.join(a, "u").join(b, "v").select(c("ru").alias("u"), c("rv").alias("v")).where("u <> v").distinct(), "edges")
+        old, rest = rest, scratch.write(rest.join(a, "u").join(b, "v").select(c("ru").alias("u"), c("rv").alias("v")).where("u <> v").distinct(), "edges")
+        scratch.drop(old, least)
         if not rest.limit(1).count():
+            scratch.drop(rest)
             return labels
+
+
+class Labels:
+    """Components that grow as links come in. New links are contracted to the components known so far, so a
+    round costs its own links and one pass over the labels."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch = scratch
+        self.table = scratch.spark.createDataFrame([], "node long, component long")
+        self.empty = True
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of their node; a node without links is its own."""
+        if self.empty:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(self.table, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def add(self, links: DataFrame) -> bool:
+        """Take in links (u, v); whether any joins two components."""
+        c, scratch = F.col, self.scratch
+        end = lambda x, name: self.of(x.withColumnRenamed(name, "node")).drop("node").withColumnRenamed("component", name)
+        fresh = scratch.write(end(end(links, "u"), "v").where("u <> v").distinct(), "fresh")
+        if not fresh.limit(1).count():
+            scratch.drop(fresh)
+            return False
+        merged = components(fresh, scratch)
+        if self.empty:
+            self.table, self.empty = merged, False
+        else:
+            to = merged.select(c("node").alias("component"), c("component").alias("root"))
+            known = self.table.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            old, self.table = self.table, scratch.write(known.unionByName(merged.join(self.table, "node", "left_anti")), "labels")
+            scratch.drop(old, merged)
+        scratch.drop(fresh)
+        return True

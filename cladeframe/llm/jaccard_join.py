@@ -1,17 +1,29 @@
 """Exact Jaccard join of n-gram sets in metric space.
 
-Jaccard distance is a metric. Texts of which no pivot is near cannot be told apart by their distance
-to it, so the space is first divided by sets, not by documents: a document's shingles are dealt by
-hash into more parts than a linked pair can differ in, so linked documents agree on one part whole.
-The documents that agree on a part form a region; no frequent shingle makes a region large by itself.
-
-In each region the member of the least id is the pivot. All members are measured against it, which
-links whole groups of near copies by as many pairs as they have members. Regions that still hold
-documents of different components are cut into rings of the threshold's width around their pivot.
-By the triangle inequality linked documents lie in the same ring or in neighbouring rings: each ring,
-with the documents of the ring inside it, is dealt again by another hash. Linked documents agree on a
-part of every deal, while others, which may have agreed on a part that is all a common line, soon do
-not. The parts are the regions of the next round, which have pivots of their own. Small regions are compared in full. Nothing is capped; the result is exact up to 64-bit hashes.
+Jaccard distance is a metric, and so is the size of the symmetric difference, which stays the same
+if all sets are replaced by their differences from one pivot.
+
+1. Pivots. Nearly all texts are at distance 1 of each other, where no triangle inequality can prune.
+   So pivots are found by agreement: a document's shingles are dealt by hash into more parts than a
+   linked pair can differ in, hence linked documents agree on a part whole. Of the documents that agree
+   on a part the one of the least hash is a pivot, and all are measured against it. A pivot's region is
+   the documents that were; each linked pair has a region in common. From here on a document
+   is its difference from the pivot.
+2. Regions of up to SMALL documents, of different components, are compared in full.
+3. A larger region gets pivots of its own, so far apart that no document is near two of them, and is cut
+   into their Voronoi cells. A document is at home in the cell of its nearest pivot, if that is within
+   the cells' radius, else in the rest. By the triangle inequality a document that is linked with one at
+   home is no farther from that pivot than the radius and the threshold: documents in this window are
+   guests of the cell. So no document is in more than one cell, and besides in the rest.
+4. A cell that is still large is centred on its median, the set of the elements that most of its documents
+   have. Documents whose distances from it add up to the threshold are linked; all such links run over
+   the document nearest to it. Any other two that are linked differ from the median in a common
+   element, and agree on one of the rarest elements of their differences. So the cell is divided by
+   these, as many as linked documents can differ in, and one more. The parts are the regions of the
+   next round. No element sets more than half of a cell apart from its median, so a part has at most half of
+   the documents, and the number of rounds is bounded by the logarithm of the largest region.
+
+Nothing is capped; the result is exact up to 64-bit hashes. Only links that join components are looked for.
 """
 
 from __future__ import annotations
@@ -19,20 +31,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import Scratch, small_batches
+from .arrow import pieces
+from .graph import Labels
+from .scratch import Scratch
 from .shingles import Hasher, mix, set_hash
 
 #: Size classes for parts grow by this factor.
 CLASS_RATIO = 1.5
-#: Regions of up to so many documents are compared in full; each round doubles it, so that rounds end.
-SMALL = 12
-#: Open regions around a pivot of up to so many shingles are dealt again.
-DEAL_AGAIN = 300
+#: Regions of up to so many documents, with differences of up to so many elements, are compared in full by one task.
+SMALL, SMALL_ELEMENTS = 32, 1 << 22
+#: The radius of Voronoi cells, in multiples of the threshold's distance.
+RADIUS = 2
 #: A table of up to so many rows of two numbers is broadcast (some 50 MB).
 BROADCAST_ROWS = 1_000_000
 #: Bits of the table that holds which sets are wanted back; its size is fixed, hits beyond it are joined away.
@@ -60,9 +74,8 @@ class Classes:
         return self.of(n * self.den // self.num)
 
 
-def signatures(n: np.ndarray, values: np.ndarray, classes: Classes, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures of sets, given by sizes and concatenated elements: (row of the set, signature).
-    ``deal`` numbers independent ways to deal the elements out."""
+def signatures(n: np.ndarray, values: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Part signatures of sets, given by sizes and concatenated elements: (row of the set, signature)."""
     rows, sigs = [], []
     own, top = classes.of(n), classes.above(n)
     starts = np.cumsum(n) - n
@@ -74,7 +87,7 @@ def signatures(n: np.ndarray, values: np.ndarray, classes: Classes, deal: int =
         size, level = n[chosen], (own + step)[chosen]
         parts = classes.parts[level]
         at = np.repeat(starts[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        x = mix(values[at], 1 + 100 * deal)
+        x = mix(values[at], 1)
         first = np.cumsum(parts) - parts
         part = (mix(x, 2) % np.repeat(parts, size).astype(np.uint64)).astype(np.int64)
         cell, cells = np.repeat(first, size) + part, int(parts.sum())
@@ -89,7 +102,7 @@ def signatures(n: np.ndarray, values: np.ndarray, classes: Classes, deal: int =
         for e in np.flatnonzero(~full):
             k = which[e]
             own_x = values[starts[chosen[k]] : starts[chosen[k]] + size[k]]
-            y = mix(own_x, 5 + 100 * deal)
+            y = mix(own_x, 5)
             m = int(parts[k])
             again, _ = _fold(y, (mix(y, 6) % np.uint64(m)).astype(np.int64), m)
             rows.append(np.full(m, chosen[k]))
@@ -111,7 +124,7 @@ def _described(docs: DataFrame, k: int, lower: bool, classes: Classes) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(alnum=False, lower=lower)
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces(whole, 1)):
             sets = [np.unique(g) for g in hasher.grams(batch.column(1), k)]
             n = np.array([len(s) for s in sets], np.int64)
             rows, sigs = signatures(n, np.concatenate(sets) if sets else np.array([], np.uint64), classes)
@@ -124,24 +137,6 @@ def _described(docs: DataFrame, k: int, lower: bool, classes: Classes) -> DataFr
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, sigs array<bigint>")
 
 
-def _dealt_again(members: DataFrame, sets: DataFrame, classes: Classes, deal: int) -> DataFrame:
-    """Regions (region, node, component, core) divided by the part signatures of another deal: linked documents agree
-    on a part of every deal, so they stay together, while others part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(4)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-            rows, sigs = signatures(np.diff(offsets).astype(np.int64), values, classes, deal)
-            out = batch.select([0, 1, 2, 3]).take(pa.array(rows))
-            region = mix(out.column(0).to_numpy().view(np.uint64) ^ sigs, 31 + deal).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(region), *out.columns[1:]], ["region", "node", "component", "core"])
-
-    rows = members.select("region", "node", "component", "core").join(sets, "node").select("region", "node", "component", "core", "s")
-    return rows.mapInArrow(run, "region long, node long, component long, core boolean")
-
-
 def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
     """A table of 2**bits bits with those of the numbers (64-bit hashes) set; at most 2**(bits - 5) rows reach the driver."""
     bit = F.pmod(F.col(numbers.columns[0]), F.lit(1 << bits))
@@ -165,7 +160,7 @@ def wanted(nodes: DataFrame, docs: DataFrame, k: int, seed: int, hasher: dict, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hasher(**hasher)
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces(whole, 1)):
             found = [(set_hash(s, seed), s) for s in map(described, words.grams(batch.column(1), k)) if len(s)]
             node = np.array([x[0] for x in found], np.uint64)
             keep = np.flatnonzero(in_table(shared.value, node))
@@ -178,12 +173,156 @@ def wanted(nodes: DataFrame, docs: DataFrame, k: int, seed: int, hasher: dict, d
     return found.groupBy("node").agg(F.first("s").alias("s")).join(nodes.select("node"), "node", "left_semi")
 
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) with the sizes of intersection and union."""
+class Threshold:
+    """Similarity num/den as bounds on sizes and symmetric differences."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def linked(self, n: int, m: int, apart: int) -> bool:
+        """Whether sets of sizes n and m that differ in ``apart`` elements are similar enough."""
+        return (n + m - apart) * self.den >= (n + m + apart) * self.num
+
+    def distance(self, n: int, m: int, apart: int) -> float:
+        return 2 * apart / max(1, n + m + apart)
+
+    def score(self, n: Column, from_centre: Column) -> Column:
+        """Two sets whose scores add up to at most 0 are linked: their distances from the centre suffice."""
+        return from_centre * (self.den + self.num) - n * (self.den - self.num)
+
+    def most_apart(self, n: Column) -> Column:
+        """In how many elements a set of size n and one that it is linked with can differ at most."""
+        largest = F.floor(n * self.den / self.num)
+        return F.floor((n + largest) * (self.den - self.num) / (self.den + self.num))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.array([], np.int64), pa.int64()))
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs (node, pivot) to members of the pivots' regions: (region, node, n, delta, home, linked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = _rows(batch.column(2)), _rows(batch.column(3))
+            # Sets are kept in the order of unsigned numbers; differences are sorted as signed ones.
+            delta = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(own, other)]
+            linked = [limit.linked(len(a), len(b), len(d)) for a, b, d in zip(own, other, delta)]
+            n = pa.array([len(a) for a in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), n, _lists(delta), pa.array([True] * len(own)), pa.array(linked, pa.bool_())], ["region", "node", "n", "delta", "home", "linked"])
+
+    c = F.col
+    rows = pairs.join(sets.select("node", c("s").alias("su")), "node").join(sets.select(c("node").alias("pivot"), c("s").alias("sv")), "pivot")
+    return rows.select("node", "pivot", "su", "sv").mapInArrow(run, "region long, node long, n int, delta array<bigint>, home boolean, linked boolean")
+
+
+def _compared(members: DataFrame, limit: Threshold) -> DataFrame:
+    """Links (u, v) between components within small regions; of those that close a circle none."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        node, n, home, delta = group["node"].tolist(), group["n"].tolist(), group["home"].tolist(), group["delta"].tolist()
+        root = {x: x for x in group["component"].tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        tops, out = group["component"].tolist(), []
+        for i in range(len(node)):
+            for j in range(i):
+                if (home[i] or home[j]) and limit.linked(n[i], n[j], abs(len(delta[i]) - len(delta[j]))) and (a := top(tops[i])) != (b := top(tops[j])):
+                    if limit.linked(n[i], n[j], len(np.setxor1d(delta[i], delta[j], assume_unique=True))):
+                        root[a] = b
+                        out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return members.select("region", "node", "n", "home", "component", "delta").groupBy("region").applyInPandas(run, "u long, v long")
+
+
+def _cells(members: DataFrame, limit: Threshold) -> DataFrame:
+    """Voronoi cells of large regions: rows (region, node, n, delta, home, link). A row with a link is one that was
+    found with a pivot, and no member; the others are members of a cell, or of what lies beyond all cells."""
     c = F.col
-    out = pairs.join(sets.select(c("node").alias("u"), c("s").alias("su")), "u").join(sets.select(c("node").alias("v"), c("s").alias("sv")), "v")
-    out = out.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("both"), F.size("su").alias("nu"), F.size("sv").alias("nv"))
-    return out.select("u", "v", "both", (c("nu") + c("nv") - c("both")).alias("either"))
+    # The nearest to the old centre, the farthest from it, and one by hash.
+    near = F.struct(F.size("delta"), "node")
+    pivots = members.groupBy("region").agg(F.array_distinct(F.array(F.min_by("node", near), F.max_by("node", near), F.min_by("node", F.xxhash64("node")))).alias("p"))
+    chosen = pivots.select("region", F.explode("p").alias("node")).join(members.select("region", "node", "n", "delta"), ["region", "node"])
+    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "n", "delta"))).alias("pivots"))
+    edge = (limit.den - limit.num) / limit.den
+
+    def apart(a: tuple, b: tuple) -> tuple[np.ndarray, float]:
+        d = np.setxor1d(a[2], b[2], assume_unique=True)
+        return d, limit.distance(a[1], b[1], len(d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple]] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for region, node, n, delta, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _rows(batch.column(3)), batch.column(4)):
+                if region not in known:
+                    known.clear()
+                    # Pivot, and whether it has a cell: it has none if it is too near to one before it.
+                    known[region] = []
+                    for p in found.as_py():
+                        p = (p["node"], p["n"], np.array(p["delta"], np.int64))
+                        known[region].append((p, all(apart(p, q)[1] > 2 * (RADIUS + 1) * edge + 1e-6 for q, cell in known[region] if cell)))
+                me, own = (node, n, delta), known[region]
+                far = {p[0]: apart(me, p) for p, _ in own}
+                out += [(region, node, n, delta[:0], False, p[0]) for p, _ in own if p[0] != node and limit.linked(n, p[1], len(far[p[0]][0]))]
+                if node in far:
+                    continue
+                best = min((p[0] for p, cell in own if cell), key=lambda x: far[x][1])
+                at_home = far[best][1] <= RADIUS * edge
+                if not at_home:
+                    out.append((region, node, n, delta, True, None))
+                if far[best][1] <= (RADIUS + 1) * edge + 1e-6:
+                    name = mix(np.array([region ^ best], np.int64).view(np.uint64), 71).view(np.int64)[0]
+                    out.append((int(name), node, n, far[best][0], at_home, None))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), _lists(list(columns[3])), pa.array(columns[4], pa.bool_()), pa.array(columns[5], pa.int64())], ["region", "node", "n", "delta", "home", "link"])
+
+    rows = members.select("region", "node", "n", "delta").join(pivots, "region").select("region", "node", "n", "delta", "pivots")
+    return rows.mapInArrow(run, "region long, node long, n int, delta array<bigint>, home boolean, link long")
+
+
+def _centred(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Large cells centred on their medians (region, node, n, delta, home), and how many of a cell differ from the
+    median in an element, if more than one (region, e, often)."""
+    c = F.col
+    often = members.select("region", "size", F.explode("delta").alias("e")).groupBy("region", "size", "e").agg(F.count("*").alias("often"))
+    often = scratch.write(often.where("often > 1"), "often")
+    most = often.where(c("often") * 2 > c("size")).groupBy("region").agg(F.collect_list("e").alias("median"))
+    out = members.join(most, "region", "left").withColumn("median", F.coalesce("median", F.array().cast("array<bigint>")))
+    delta = F.array_sort(F.concat(F.array_except("delta", "median"), F.array_except("median", "delta")))
+    out = scratch.write(out.select("region", "node", "n", delta.alias("delta"), "home"), "centred")
+    return out, often.select("region", "e", F.least("often", c("size") - c("often")).alias("often")).where("often > 1")
+
+
+def _keyed(members: DataFrame, often: DataFrame, limit: Threshold) -> DataFrame:
+    """Cells divided by the rarest elements of the differences: (part, region, node, home, d). Elements that no
+    other member has are the rarest of all and make no part."""
+    c = F.col
+    el = members.select("region", "node", F.explode("delta").alias("e"))
+    shared = el.join(often, ["region", "e"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("s"))
+    rows = members.select("region", "node", "home", F.size("delta").alias("d"), limit.most_apart(c("n")).cast("int").alias("most")).join(shared, ["region", "node"])
+    rows = rows.select("region", "node", "home", "d", F.explode_outer(F.slice("s", 1, F.greatest(F.lit(0), c("most") + 1 - (c("d") - F.size("s"))))).alias("s")).where(c("s").isNotNull())
+    return rows.select(F.xxhash64("region", "s.e").alias("part"), "region", "node", "home", "d")
+
+
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """Of members with components the regions (key, size, elements) that have several components and someone at home; of
+    regions with the same members one."""
+    c = F.col
+    found = members.groupBy(key).agg(F.count("*").alias("size"), F.sum("d").alias("elements"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("node", "home")).alias("m"))
+    return found.where((c("a") < c("b")) & c("home")).groupBy("size", "m").agg(F.min_by("elements", key).alias("elements"), F.min(key).alias(key)).select(key, "size", "elements")
 
 
 def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10, lower: bool = True) -> DataFrame:
@@ -197,59 +336,51 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     spark, c = docs.sparkSession, F.col
     if num * CLASS_RATIO < den:
         raise ValueError("the threshold is too low for the size classes")
-    small_batches(spark)
-    scratch, classes = Scratch(spark, "jaccard"), Classes(num, den)
+    scratch, classes, limit = Scratch(spark, "jaccard"), Classes(num, den), Threshold(num, den)
     d = docs.select(c(id_col).alias("doc_id"), c(text_col).cast("string").alias("text"))
     known = scratch.write(_described(d, k, lower, classes), "sets")
     slim = known.select("doc_id", "node", "n_shingles")
     occ = known.select("node", F.explode("sigs").alias("sig"))
     pivots = scratch.write(occ.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("sig", "pivot"), "pivots")
     few = pivots.count() <= BROADCAST_ROWS
-    region = scratch.write(occ.join(F.broadcast(pivots) if few else pivots, "sig").select(c("sig").alias("region"), "node", "pivot").distinct(), "regions")
-    nodes = region.select("node").distinct()
+    pairs = scratch.write(occ.join(F.broadcast(pivots) if few else pivots, "sig").where("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    scratch.drop(pivots)
+    nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
     sets = scratch.write(wanted(nodes, d, k, 51, {"alnum": False, "lower": lower}), "wanted")
-
-    links, deal, members = None, 0, F.bit_xor(F.xxhash64("node"))
-    pairs = region.where("node <> pivot").select(c("node").alias("u"), c("pivot").alias("v")).distinct()
+    region = scratch.write(_measured(pairs, sets, limit), "measured")
+    scratch.drop(pairs, sets)
+    labels = Labels(scratch)
+    labels.add(region.where("linked").select(c("node").alias("u"), c("region").alias("v")))
+    region = region.drop("linked")
     while True:
-        measured = scratch.write(_measure(pairs, sets), "measured")
-        near = measured.where(c("both") * den >= c("either") * num).select("u", "v")
-        links = near if links is None else links.unionByName(near)
-        if not links.limit(1).count():
-            labels = spark.createDataFrame([], "node long, component long")
-        else:
-            labels = components(links, scratch)
-        # Regions whose members are all of one component need no more pairs.
-        member = region.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        member = scratch.write(member.select("region", "node", "pivot", "component"), "members")
-        open_ = member.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), members.alias("m")).where("a < b")
-        # Long similar texts agree on many parts: of regions of the same members one is enough.
-        open_ = scratch.write(open_.groupBy("size", "m").agg(F.min("region").alias("region")).select("region", "size"), "open")
+        sized = labels.of(region.withColumn("d", F.size("delta")))
+        open_ = scratch.write(_open(sized, "region"), "open")
         if not open_.limit(1).count():
             break
-        member = member.join(open_, "region")
-        ring = F.floor((c("either") - c("both")) * den / (c("either") * (den - num))).cast("int")
-        size_of = sets.select(c("node").alias("pivot"), F.size("s").alias("n"))
-        tested = measured.select(c("u").alias("node"), c("v").alias("pivot"), "both", "either")
-        small = member.where(c("size") <= SMALL << deal).select("region", "node", "component")
-        large = member.where((c("size") > SMALL << deal) & (c("node") != c("pivot"))).join(tested, ["node", "pivot"]).withColumn("ring", ring).join(size_of, "pivot")
-        # Each document in its own ring, and as a guest in the next one.
-        large = large.select(F.explode(F.array(F.struct(c("ring").alias("ring"), F.lit(True).alias("core")), F.struct((c("ring") + 1).alias("ring"), F.lit(False).alias("core")))).alias("r"), "region", "pivot", "node", "component", "n")
-        large = large.select(F.xxhash64("region", "pivot", "r.ring").alias("region"), "node", "component", "r.core", "n")
-        # Long texts have many parts, and rarely agree on one by chance: they keep their rings.
-        deal += 1
-        large = large.withColumn("short", c("n") <= DEAL_AGAIN)
-        again = _dealt_again(large.where("short"), sets, classes, deal)
-        large = scratch.write(again.unionByName(large.where("not short").select("region", "node", "component", "core")), "dealt")
-        rings = large.groupBy("region").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core"), members.alias("m")).where("core and a < b")
-        rings = rings.groupBy("size", "m").agg(F.min_by("pivot", "region").alias("pivot"), F.min("region").alias("region")).select("region", "pivot", "size")
-        large = scratch.write(large.join(rings, "region"), "rings")
-        other = small.select("region", c("node").alias("v"), c("component").alias("cv"))
-        full = small.withColumnRenamed("node", "u").join(other, "region").where((c("u") > c("v")) & (c("component") != c("cv"))).select("u", "v")
-        starred = large.where("node <> pivot").select(c("node").alias("u"), c("pivot").alias("v"))
-        pairs = full.union(starred).distinct()
-        region = large.select("region", "node", "pivot")
-    least = slim.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    rooted = slim.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("root")).join(least, "root").select("node", "component_id")
+        small = (c("size") <= SMALL) & ((c("elements") <= SMALL_ELEMENTS) | (c("size") <= 2))
+        members = sized.join(open_, "region")
+        links = _compared(members.where(small), limit)
+        large = scratch.write(members.where(~small).select("region", "node", "n", "delta"), "large")
+        if not large.limit(1).count():
+            labels.add(links)
+            break
+        cells = scratch.write(_cells(large, limit), "cells")
+        labels.add(links.unionByName(cells.where("link IS NOT NULL").select(c("node").alias("u"), c("link").alias("v"))))
+        cells = cells.where("link IS NULL").drop("link")
+        open_ = scratch.write(_open(labels.of(cells.withColumn("d", F.size("delta"))), "region"), "open")
+        cells = cells.join(open_, "region")
+        centred, often = _centred(cells.where(~small), scratch)
+        scored = centred.select("region", "node", limit.score(c("n"), F.size("delta")).alias("score"))
+        middle = scored.groupBy("region").agg(F.min(F.struct("score", "node")).alias("m"))
+        star = scored.join(middle, "region").where((c("score") + c("m.score") <= 0) & (c("node") != c("m.node")))
+        labels.add(star.select(c("node").alias("u"), c("m.node").alias("v")))
+        parts = scratch.write(_keyed(centred, often, limit), "parts")
+        kept = parts.join(_open(labels.of(parts), "part").select("part"), "part").drop("home").join(centred, ["region", "node"])
+        kept = kept.select(c("part").alias("region"), "node", "n", "delta", "home")
+        region = scratch.write(kept.unionByName(cells.where(small).select("region", "node", "n", "delta", "home")), "region")
+    least = labels.of(slim).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    rooted = labels.of(slim.select("node").distinct()).join(least, "component").select("node", "component_id")
     out = slim.join(rooted, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(c("n_shingles") == 0, c("doc_id")).otherwise(c("component_id")).alias("component_id"))
+    out = scratch.write(out.select("doc_id", "n_shingles", F.when(c("n_shingles") == 0, c("doc_id")).otherwise(c("component_id")).alias("component_id")), "result")
+    scratch.keep(out)
+    return out

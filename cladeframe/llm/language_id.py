@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .arrow import map_texts, pieces
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of the Unicode categories L*.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -161,17 +163,18 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Only the text decides a prediction. Repeated rows give repeated results, an empty table gives
     none, other columns are not carried. If no training row has a language, all rows are ``und``.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = shared.value
-        for batch in batches:
-            got = [m.predict(None if t is None or t != t else t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+        def predict(texts: list) -> dict:
+            got = [m.predict(t) for t in texts]
+            return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+
+        return predict
+
+    return map_texts(docs, id_col, text_col, make, {"lang_pred": "string", "score": "double"}, {"held_out": held_out(F.col(id_col))})
 
 
 def identify_languages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

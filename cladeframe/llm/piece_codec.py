@@ -16,11 +16,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .arrow import map_texts
 
 BLANK = "▁"
 #: Longest word for which merges run as arrays over all words at once; longer ones use a heap.
@@ -262,40 +262,41 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-def encode_pieces(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 500) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, their number, and whether decoding gives the text back.
 
     A null or empty text has no ids and is given back. A text that holds the blank mark U+2581
     itself comes back with spaces there, so ``round_trip`` is false for it, as in the format.
     Repeated rows give repeated results; an empty table gives none; other columns are not carried.
-    No row is shuffled: memory is bound by ``rows_at_once`` texts and the cache of words.
+    No row is shuffled: memory is bound by the bytes of a slice of a batch, or of one longer text, and the cache of words.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model_file))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = Codec(shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), rows_at_once * 8):
-                part = batch.iloc[at : at + rows_at_once * 8]
-                texts = part["text"].fillna("").tolist()
-                ids = codec.encode(texts)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [len(i) for i in ids], "ids": ids, "round_trip": [codec.decode(i.tolist()) == t for i, t in zip(ids, texts)]})
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+        def encode(texts: list) -> dict:
+            texts = [t or "" for t in texts]
+            ids = codec.encode(texts)
+            back = [codec.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            return {"n_tokens": [len(i) for i in ids], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.array([], np.int32), pa.int32())), "round_trip": back}
+
+        return encode
+
+    return map_texts(docs, id_col, text_col, make, {"n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"})
 
 
 def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
     """Texts of rows (doc_id, ids); a null list gives an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [codec.decode([] if i is None else [int(x) for x in i]) for i in batch["ids"]]})
+            texts = [codec.decode(i or []) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

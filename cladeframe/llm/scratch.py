@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -24,11 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one operator call under the shared folder."""
+    """Parquet tables of one operator call under the shared folder.
+
+    An operator drops the tables that its result does not read before it returns; what is left goes when the
+    Python process ends, or with ``remove`` when the caller needs the result no more.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
         self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -36,20 +42,34 @@ class Scratch:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.paths:
+            atexit.register(self.remove)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, table: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm, path = self.spark.sparkContext._jvm, table._scratch_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            if t._scratch_path in self.paths:
+                self.paths.remove(t._scratch_path)
+                self._delete(t._scratch_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {t._scratch_path for t in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            self.paths.remove(path)
+            self._delete(path)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts fit in a Python worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    def remove(self) -> None:
+        """Delete what is left, if the session still runs."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.root)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +22,15 @@ def _running(df: DataFrame, value: str, scratch: Scratch, name: str) -> tuple[Da
 
     schema = df.schema
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            b["part"], b["upto"] = part, b[value].cumsum() + total
-            total = int(b["upto"].iloc[-1]) if len(b) else total
-            yield b
+            upto = pc.add(pc.cumulative_sum(b.column(value)), total)
+            total = upto[-1].as_py() if len(b) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(b), pa.int32()), upto], [*b.schema.names, "part", "upto"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    table = scratch.write(df.mapInPandas(add, f"{fields}, part int, upto long"), name)
+    table = scratch.write(df.mapInArrow(add, f"{fields}, part int, upto long"), name)
     sums = {r[0]: r[1] for r in table.groupBy("part").agg(F.max("upto")).collect()}
     offsets, total = [], 0
     for p in range(max(sums, default=-1) + 1):

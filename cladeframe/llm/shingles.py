@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at once; a longer text is a block of its own.
+#: Bytes hashed at once; a longer text is cut between words.
 BLOCK = 1 << 20
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,13 +66,35 @@ class Hasher:
             last = first + 1
             while last < n and ends[last + 1] - ends[first] <= BLOCK:
                 last += 1
-            yield *self._block(data, ends[first : last + 1]), null[first:last]
+            if ends[last] - ends[first] > BLOCK:
+                words = np.concatenate([self._block(x, np.array([0, len(x)]))[0] for x in self._cut(data[ends[first] : ends[last]])])
+                yield words, np.array([0, len(words)]), null[first:last]
+            else:
+                yield *self._block(data, ends[first : last + 1]), null[first:last]
             first = last
 
+    def _cut(self, raw: np.ndarray) -> Iterator[np.ndarray]:
+        """Stretches of a long text, cut between words."""
+        at = 0
+        while at < len(raw):
+            stop, step = at + BLOCK, BLOCK
+            if stop < len(raw):
+                gaps = np.flatnonzero(self.apart[self._low(raw[at:stop])])
+                if len(gaps):
+                    stop = at + int(gaps[-1]) + 1
+                else:  # a word that is longer than a block
+                    while stop < len(raw) and not self.apart[self._low(raw[stop : stop + step])].any():
+                        stop += step
+                    gaps = np.flatnonzero(self.apart[self._low(raw[stop : stop + step])])
+                    stop += int(gaps[0]) + 1 if len(gaps) else step
+            yield raw[at:stop]
+            at = stop
+
+    def _low(self, raw: np.ndarray) -> np.ndarray:
+        return _LOWER[raw] if self.lower else raw
+
     def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data[ends[0] : ends[-1]]
-        if self.lower:
-            raw = _LOWER[raw]
+        raw = self._low(data[ends[0] : ends[-1]])
         inside = ~self.apart[raw]
         # A word also ends where its text does.
         begins = inside.copy()

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .arrow import map_texts
 
 #: The byte-level pre-token pattern, a fixed value of the tokenizer's format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +54,6 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
     Null text counts as empty: 0 bytes and 0 tokens. Repeated rows give repeated results, and an
     empty table gives no rows. Other columns of the input are not carried.
     """
-    small_batches(docs.sparkSession)
     from pathlib import Path
 
     from tokenizers import Tokenizer
@@ -70,7 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((raw, specials, _frequent(docs, id_col, text_col, tokenizer, specials, table_entries, sample_rows)))
 
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         import regex
         from tokenizers import Tokenizer
 
@@ -95,11 +91,11 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id"
                 return sum(map(of, find(text)))
             return sum(1 if part in is_special else sum(map(of, find(part))) for part in cut.split(text))
 
-        for batch in batches:
-            texts = batch["text"].fillna("")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count(t) for t in texts]})
+        def lengths(texts: list) -> dict:
+            texts = [t or "" for t in texts]
+            return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count(t) for t in texts]}
+
+        return lengths
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    out = slim.mapInPandas(lengths, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = map_texts(docs, id_col, text_col, make, {"n_bytes": "long", "n_tokens": "long"})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
