@@ -6,7 +6,7 @@ if all sets are replaced by their differences from one pivot.
 1. Pivots. Nearly all texts are at distance 1 of each other, where no triangle inequality can prune.
    So pivots are found by agreement: a document's shingles are dealt by hash into more parts than a
    linked pair can differ in, hence linked documents agree on a part whole. Of the documents that agree
-   on a part the one of the least hash is a pivot, and all are measured against it. A pivot's region is
+   on a part the one with the most such agreements is a pivot, and all are measured against it. A pivot's region is
    the documents that were; each linked pair has a region in common. From here on a document
    is its difference from the pivot.
 2. Regions of up to SMALL documents, of different components, are compared in full.
@@ -44,7 +44,9 @@ from .shingles import Hasher, mix, set_hash
 #: Size classes for parts grow by this factor.
 CLASS_RATIO = 1.5
 #: Regions of up to so many documents, with differences of up to so many elements, are compared in full by one task.
-SMALL, SMALL_ELEMENTS = 32, 1 << 22
+SMALL, SMALL_ELEMENTS = 512, 1 << 22
+#: Cells of the matrices of a comparison.
+MATRIX = 1 << 22
 #: The radius of Voronoi cells, in multiples of the threshold's distance.
 RADIUS = 2
 #: A table of up to so many rows of two numbers is broadcast (some 50 MB).
@@ -223,25 +225,47 @@ def _measured(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     return rows.select("node", "pivot", "su", "sv").mapInArrow(run, "region long, node long, n int, delta array<bigint>, home boolean, linked boolean")
 
 
+def similar_pairs(n: np.ndarray, deltas: list[np.ndarray], limit: Threshold) -> np.ndarray:
+    """Which pairs of sets are linked, as a matrix, from their sizes and their differences from one centre. Common
+    elements are counted by products of 0/1 matrices of a bounded number of columns."""
+    size = np.array([len(d) for d in deltas], np.int64)
+    row = np.repeat(np.arange(len(n)), size)
+    _, element, often = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    row, element = row[often[element] > 1], element[often[element] > 1]
+    _, element = np.unique(element, return_inverse=True)
+    by = np.argsort(element, kind="stable")
+    row, element = row[by], element[by]
+    both, width = np.zeros((len(n), len(n)), np.float32), max(1, MATRIX // len(n))
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        a, b = np.searchsorted(element, [first, first + width])
+        x = np.zeros((len(n), min(width, int(element[-1]) + 1 - first)), np.float32)
+        x[row[a:b], element[a:b] - first] = 1
+        both += x @ x.T
+    apart = size[:, None] + size - 2 * both.astype(np.int64)
+    total = n[:, None] + n
+    return (total - apart) * limit.den >= (total + apart) * limit.num
+
+
 def _compared(members: DataFrame, limit: Threshold) -> DataFrame:
     """Links (u, v) between components within small regions; of those that close a circle none."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        node, n, home, delta = group["node"].tolist(), group["n"].tolist(), group["home"].tolist(), group["delta"].tolist()
-        root = {x: x for x in group["component"].tolist()}
+        node, home, component = (group[x].to_numpy() for x in ("node", "home", "component"))
+        linked = similar_pairs(group["n"].to_numpy(np.int64), group["delta"].tolist(), limit)
+        linked &= (home[:, None] | home) & (component[:, None] != component)
+        root = {x: x for x in component.tolist()}
 
         def top(x: int) -> int:
             while root[x] != x:
                 x = root[x]
             return x
 
-        tops, out = group["component"].tolist(), []
-        for i in range(len(node)):
-            for j in range(i):
-                if (home[i] or home[j]) and limit.linked(n[i], n[j], abs(len(delta[i]) - len(delta[j]))) and (a := top(tops[i])) != (b := top(tops[j])):
-                    if limit.linked(n[i], n[j], len(np.setxor1d(delta[i], delta[j], assume_unique=True))):
-                        root[a] = b
-                        out.append((node[i], node[j]))
+        out = []
+        for i, j in np.argwhere(np.tril(linked)).tolist():
+            a, b = top(int(component[i])), top(int(component[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return members.select("region", "node", "n", "home", "component", "delta").groupBy("region").applyInPandas(run, "u long, v long")
@@ -341,10 +365,14 @@ def link_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     known = scratch.write(_described(d, k, lower, classes), "sets")
     slim = known.select("doc_id", "node", "n_shingles")
     occ = known.select("node", F.explode("sigs").alias("sig"))
-    pivots = scratch.write(occ.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("sig", "pivot"), "pivots")
-    few = pivots.count() <= BROADCAST_ROWS
-    pairs = scratch.write(occ.join(F.broadcast(pivots) if few else pivots, "sig").where("node <> pivot").select("node", "pivot").distinct(), "pairs")
-    scratch.drop(pivots)
+    groups = scratch.write(occ.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig"), "groups")
+    few = groups.count() <= BROADCAST_ROWS
+    agree = scratch.write(occ.join(F.broadcast(groups) if few else groups, "sig").distinct(), "agree")
+    # The pivot is the one of most agreements, so that groups of one family have one pivot.
+    most = agree.join(agree.groupBy("node").agg(F.count("*").alias("most")), "node")
+    pivots = most.groupBy("sig").agg(F.max(F.struct("most", "node")).alias("m")).select("sig", c("m.node").alias("pivot"))
+    pairs = scratch.write(agree.join(pivots, "sig").where("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    scratch.drop(groups, agree)
     nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
     sets = scratch.write(wanted(nodes, d, k, 51, {"alnum": False, "lower": lower}), "wanted")
     region = scratch.write(_measured(pairs, sets, limit), "measured")
