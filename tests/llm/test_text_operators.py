@@ -346,7 +346,7 @@ def test_links_and_passages_are_whole(spark):
     rows += [(9, f"{prose(609, 10)} {a} {prose(709, 25)} {b}"), (10, " ".join(near)), (11, " ".join(near2))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in passage_dedup.find_repeated_passages(d).collect()}
-    assert [got[i].n_links for i in range(12)] == [6] * 6 + [3] * 3 + [9, 1, 1]
+    assert [(got[i].class_id, got[i].n_docs, got[i].n_passages) for i in range(12)] == [(0, 10, 1)] * 9 + [(0, 10, 2)] + [(10, 2, 1)] * 2
     assert got[9].passage_words == 90 and got[9].passage_start == 105 and got[10].passage_words == got[11].passage_words == 80
     rest = passage_dedup.find_all_passages(d).collect()
     mine = defaultdict(set)
@@ -354,6 +354,59 @@ def test_links_and_passages_are_whole(spark):
         mine[r.doc_id].add((r.passage_start, r.passage_words, r.passage_class))
     assert {x[:2] for x in mine[9]} == {(10, 70), (105, 90)} and len({x[2] for i in range(6) for x in mine[i]} | {x[2] for x in mine[9]}) == 2
     assert all({x[:2] for x in mine[i]} == {(20, 70)} for i in range(6))
+    assert {r.n_docs for r in rest if r.doc_id < 6} == {7} and {r.n_docs for r in rest if 6 <= r.doc_id < 9} == {4}
+
+
+def linked_by_windows(texts):
+    """Brute force: pairs of different texts with windows of 46 shingles of a similarity of 0.8, and the words of exact ones."""
+    gs = {i: [tuple(w[a : a + 5]) for a in range(len(w) - 4)] for i, w in texts.items() if len(w) >= 50}
+    places, pairs, exact = defaultdict(list), set(), defaultdict(set)
+    for i, g in gs.items():
+        for a, x in enumerate(g):
+            places[x].append((i, a))
+    diagonals = defaultdict(set)
+    for x in places.values():
+        for i, a in x:
+            for j, b in x:
+                if i < j and texts[i] != texts[j]:
+                    diagonals[i, j].add(a - b)
+    for (i, j), offs in diagonals.items():
+        u, v = gs[i], gs[j]
+        for off in offs:
+            for s in range(max(0, off), min(len(u), len(v) + off) - 45):
+                x, y = u[s : s + 46], v[s - off : s - off + 46]
+                if x == y:
+                    exact[i] |= set(range(s, s + 50))
+                    exact[j] |= set(range(s - off, s - off + 50))
+                if (i, j) not in pairs and len(both := set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+                    pairs.add((i, j))
+    return pairs, exact
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_passages_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(passage_dedup, "SMALL", small)
+    rng, rows = np.random.default_rng(5), []
+    line = prose(77, 12)
+    for f in range(8):
+        base = [f"f{f}x{k}" for k in range(130)]
+        for j in range(12):
+            w = list(base)
+            for k in rng.choice(130, int(rng.integers(1, 7)), replace=False):
+                w[k] = f"e{f}x{j}x{k}"
+            cut = int(rng.integers(0, 60))
+            rows.append((f"{f}-{j}", f"{prose(3000 + 20 * f + j, 30)} {line} {' '.join(w[cut:])}"))
+    texts = {i: words_of(t, ALNUM) for i, t in rows}
+    pairs, exact = linked_by_windows(texts)
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r for r in passage_dedup.find_repeated_passages(d).collect()}
+    both = sum(i in got and j in got and got[i].class_id == got[j].class_id for i, j in pairs)
+    assert len(pairs) > 100 and both >= 0.9 * len(pairs), (both, len(pairs))
+    assert {x for p in pairs for x in p} >= set(got)
+    held = defaultdict(set)
+    for r in passage_dedup.find_all_passages(d).collect():
+        held[r.doc_id] |= set(range(r.passage_start, r.passage_start + r.passage_words))
+    assert all(exact[i] <= held[i] for i in exact)
 
 
 def test_frequent_pre_tokens_are_of_all_partitions(spark):
