@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import alnum_words, gram_hashes, word_hashes
@@ -12,8 +12,8 @@ from .text import alnum_words, gram_hashes, word_hashes
 
 @dataclass(frozen=True)
 class Template:
-    """A text to look for. It is found where ``coverage`` of its k-grams stand on neighbouring diagonals,
-    ``slack`` words apart at most; a phrase has full coverage and no slack."""
+    """A text to look for. It is found where ``coverage`` of its k-grams stand in order, on diagonals that are
+    ``slack`` words apart in all at most; a phrase has full coverage and no slack."""
 
     label: str
     text: str
@@ -57,8 +57,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
 
     Every rolling k-gram hash of every text is joined to the template positions (a table of fixed
     size, hence broadcast) and compared word by word. A match votes for the diagonal text position
-    minus template position; diagonals at most ``slack`` apart form a span, which holds if the
-    template positions voted for cover enough of the template.
+    minus template position; a diagonal and those up to ``slack`` words after it form a span, so its
+    length is bounded. A span is verified in order: a template position counts if its first place in the span
+    comes after that of the position before it. It holds if enough positions count.
 
     One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word (places of
     phrases), base_labels, labels (distinct, sorted, comma-joined; empty without any) and score, the
@@ -79,10 +80,19 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
         for_all &= F.get("w", c("p") + j) == c(f"t{j}")
     votes = votes.where(same | for_all).withColumn("n_words", F.when(same, F.size("w")).cast("long"))
     votes = votes.groupBy(*key, "template", "label", "phrase", "coverage", "slack", "n_grams", (c("p") - c("at")).alias("diagonal")).agg(F.collect_set("at").alias("voted"), F.max("n_words").alias("n_words"), F.sum((c("p") < 0).cast("long")).alias("copies"))
-    w = Window.partitionBy(*key, "template").orderBy("diagonal")
-    apart = F.coalesce(c("diagonal") - F.lag("diagonal").over(w) > c("slack"), F.lit(True))
-    spans = votes.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(w))
-    spans = spans.groupBy(*key, "template", "label", "phrase", "coverage", "n_grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("covered"), F.min("diagonal").cast("long").alias("start"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"))
+    # Each diagonal with those up to slack words further on: all that an occurrence that starts there can use.
+    near = Window.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(0, max([0, *(t.slack for t in templates)]))
+    spans = votes.withColumn("near", F.collect_list(F.struct("diagonal", "voted")).over(near))
+    near = F.filter("near", lambda x: x["diagonal"] <= c("diagonal") + c("slack"))
+    places = F.array_sort(F.flatten(F.transform(near, lambda x: F.transform(x["voted"], lambda at: F.struct(at.alias("at"), (x["diagonal"] + at).alias("p"))))))
+    none = F.struct(F.lit(-1).alias("at"), F.lit(-(1 << 62)).cast("long").alias("p"), F.lit(0).alias("n"))
+
+    def follow(acc: Column, x: Column) -> Column:
+        """The first place of each template position counts if it comes after that of the position before."""
+        nxt = F.struct(x["at"].alias("at"), x["p"].cast("long").alias("p"), (acc["n"] + (x["p"] > acc["p"]).cast("int")).alias("n"))
+        return F.when(x["at"] == acc["at"], acc).otherwise(nxt)
+
+    spans = spans.withColumn("covered", F.when(c("template").isNotNull(), F.aggregate(places, none, follow)["n"]).otherwise(0)).withColumn("start", c("diagonal").cast("long"))
     share = c("covered") / c("n_grams")
     holds = c("template").isNotNull() & (share >= c("coverage"))
     base = holds & c("phrase")

@@ -23,9 +23,9 @@ tg AS (SELECT template, label, phrase, coverage, slack, len(w) - 1 AS n_grams, i
 d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS p, w[i] AS a, w[i + 1] AS b FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS i)),
 v AS (SELECT DISTINCT doc_id, template, label, phrase, coverage, slack, n_grams, p - at_ AS diagonal, at_ FROM g JOIN tg USING (a, b)),
-x AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > any_value(slack) THEN 1 ELSE 0 END AS apart FROM v GROUP BY doc_id, template, diagonal),
-y AS (SELECT doc_id, template, diagonal, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM x),
-s AS (SELECT doc_id, template, label, phrase, coverage, span, count(DISTINCT at_) / n_grams AS share, min(diagonal) AS start FROM v JOIN y USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, phrase, coverage, n_grams, span),
+x AS (SELECT a.doc_id, a.template, a.label, a.phrase, a.coverage, a.n_grams, a.diagonal, b.at_, min(b.diagonal + b.at_) AS p FROM (SELECT DISTINCT * EXCLUDE (at_) FROM v) a JOIN v b ON b.doc_id = a.doc_id AND b.template = a.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + a.slack GROUP BY ALL),
+y AS (SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id, template, diagonal ORDER BY at_), p - 1) AS after FROM x),
+s AS (SELECT doc_id, template, label, phrase, coverage, diagonal AS start, count(*) FILTER (after) / n_grams AS share FROM y GROUP BY doc_id, template, label, phrase, coverage, n_grams, diagonal),
 h AS (SELECT * FROM s WHERE share >= coverage)
 SELECT doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (phrase) AS n_base, (min(start) FILTER (phrase))::BIGINT AS first_word, (max(start) FILTER (phrase))::BIGINT AS last_word,
 coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
