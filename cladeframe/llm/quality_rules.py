@@ -117,18 +117,25 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, apart: np.ndarray, *, most_rules
     return rules
 
 
-def train_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, **learn) -> list[Rule]:
+def train_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, **learn) -> list[Rule]:
     """Learn from at most ``sample_rows`` labelled documents, picked by a hash of the id; quality 0 is what rules reject.
 
-    Rows whose id or quality is null teach nothing. The sample's ids are the only broadcast; its size is the bound.
+    Ids may have any type; ``labels`` has them in a column of the same name. Rows whose id or quality is null teach
+    nothing; of several labels of an id the least counts. The sample's ids are the only broadcast; its size is the bound.
+    A third of the rows, by another hash, is kept apart for pruning.
     """
-    picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = text_statistics(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", *FEATURES).orderBy("doc_id").collect()
+    c = F.col
+    labels = labels.select(c(id_col).alias("label_id"), c("quality").alias("quality"))
+    picked = labels.where(c("label_id").isNotNull() & c("quality").isNotNull()).groupBy("label_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
+    slim = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text"))
+    slim = slim.join(F.broadcast(picked.select("label_id")), c("doc_id") == c("label_id"), "left_semi")
+    rows = text_statistics(slim).join(F.broadcast(picked), c("doc_id") == c("label_id"))
+    rows = rows.select((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).alias("apart"), "quality", *FEATURES).orderBy("doc_id", *FEATURES).collect()
     if not rows:
         return []
     x = np.array([[r[f] for f in FEATURES] for r in rows], float)
     bad = np.array([r["quality"] == 0 for r in rows])
-    apart = np.array([(r["doc_id"] * 2654435761 >> 7) % 3 == 0 for r in rows])
+    apart = np.array([r["apart"] for r in rows])
     return learn_rules(x, bad, apart, **learn)
 
 
@@ -142,9 +149,9 @@ def apply_rules(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, **train) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **train) -> DataFrame:
     """Statistics and verdict for all rows. Without labelled rows only the base rule decides.
 
     Repeated rows give repeated results; an empty table gives none; null texts fail the base rule.
     """
-    return apply_rules(text_statistics(docs), train_rules(docs, labels, **train))
+    return apply_rules(text_statistics(docs, id_col=id_col, text_col=text_col), train_rules(docs, labels, id_col=id_col, text_col=text_col, **train))
