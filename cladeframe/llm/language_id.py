@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_texts, pieces
@@ -64,7 +64,9 @@ class Model:
         if not text or not self.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
         got = features(text, self.settings.orders, self.settings.bits)
-        logits = (self.bias + self.table[got].sum(0, dtype=np.float64) / max(1, len(got))) / self.temperature
+        # The counts of a long text, so that no table of all its grams is made.
+        total = self.table[got].sum(0, dtype=np.float64) if len(got) < len(self.table) else np.bincount(got, minlength=len(self.table)) @ self.table
+        logits = (self.bias + total / max(1, len(got))) / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -102,8 +104,8 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, size:
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on rows (doc_id, text, lang); rows without a letter or without a language teach nothing.
 
-    Languages and document frequencies are counted over all rows. The regression is fitted on about
-    ``sample_rows`` rows, shared equally among the languages and picked by a hash of the text; a
+    Languages and document frequencies are counted over all rows. The regression is fitted on at most
+    ``sample_rows`` distinct texts, shared equally among the languages, those of the least hashes; a
     fifth of them is kept apart to fit the temperature. TF is a gram's share of all grams of its text.
     """
     s, spark = settings, labelled.sparkSession
@@ -129,18 +131,22 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     idf = np.zeros(size)
     idf[df.feature.to_numpy()] = np.log((1 + n_docs) / (1 + df.n.to_numpy())) + 1
 
-    each = max(1, s.sample_rows // len(languages))
-    buckets = 1 << 30
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(buckets * min(1.0, each / counts[k]))))])
-    picked = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(buckets))
+    # Of each language the texts of the least hashes, equal ones once. The filter leaves a little more than are
+    # taken, so that the sort behind it has a bounded number of rows.
+    each, buckets = max(1, s.sample_rows // len(languages)), 1 << 30
+    h = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(buckets))
+    texts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.05)).collect()}
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(buckets * min(1.0, 1.5 * (each + 20) / max(1, texts[k])))))])
+    some = rows.withColumn("h", h).where(F.col("h") <= share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
     scale = math.sqrt(size)
     fit, apart = [], []
-    for text, lang, h in rows.where(picked < share[F.col("lang")]).select("text", "lang", picked).limit(2 * s.sample_rows).toLocalIterator():
+    for text, lang, k in some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("text", "lang", "h").orderBy("h", "lang").toLocalIterator():
         if LETTER.search(text):
             at, tf = np.unique(features(text, s.orders, s.bits), return_counts=True)
             value = tf / tf.sum() * idf[at] * scale
             row = (np.append(at, size), np.append(value, 1.0), languages.index(lang))
-            (apart if (h * 2654435761) % 1000 < 1000 * s.calibration_share else fit).append(row)
+            (apart if (k * 2654435761) % 1000 < 1000 * s.calibration_share else fit).append(row)
     weight, bias = _fit(fit or apart, len(languages), size, s)
     logits = [(bias + v[:-1] @ weight[a[:-1]], y) for a, v, y in apart]
 
