@@ -30,44 +30,57 @@ def unmarked(parts: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, "\n"), r"(?:(?<=\n)|^)[01]", "")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
+def _rest(docs: DataFrame, text_col: str, counts: tuple[str, str]) -> Column:
+    """All other columns as one, so that no name can clash with those used here."""
+    names = [x for x in docs.columns if x != text_col and x not in counts]
+    return (F.struct(*[F.col(f"`{x}`") for x in names]) if names else F.lit(None)).alias("row")
+
+
+def _finished(docs: DataFrame, out: DataFrame, text_col: str, text: Column, counts: tuple[str, str], n_lines: Column, n_removed: Column) -> DataFrame:
+    """The columns of ``docs``, with the text cut, and the counts."""
+    own = [text.alias(x) if x == text_col else F.col("row")[x].alias(x) for x in docs.columns if x not in counts]
+    return out.select(*own, n_lines.alias(counts[0]), n_removed.alias(counts[1]))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """Remove chunks of two or more lines that stand elsewhere too.
 
     Of the places of a chunk the first stays, by id (null first), text hash and position; the chunk is
     removed from all others, but only if all places agree byte by byte. Chunks of one line, or without
     any word, stay.
 
-    One row for each row of ``docs`` with all its columns, ``text`` cut, and n_lines, n_removed (lines).
+    One row for each row of ``docs`` with all its columns, ``text`` cut, and ``counts``: lines, and lines removed. A
+    column of ``docs`` with the name of a count is replaced by it; no other name clashes.
     A null text stays null, with 0 lines. Rows that agree in id and text count as one document and get
     the same result. A text whose chunks are all removed becomes empty.
     """
-    c, key = F.col, ["_id", "_hash"]
-    d = docs.withColumn("_id", c(id_col)).withColumn("_hash", F.xxhash64(text_col))
+    c, key = F.col, ["_i", "_h"]
+    d = docs.select(c(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), _rest(docs, text_col, counts), c(text_col).alias("whole"))
     hashed, parts = chunks(c("_text"), mean_lines)
     cut = lambda x: x.withColumn("_lines", hashed).withColumn("_parts", parts).drop("_lines")
-    own = cut(d.select(*key, c(text_col).alias("_text"))).select(*key, F.posexplode_outer("_parts").alias("at", "chunk"))
+    own = cut(docs.select(c(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), c(text_col).alias("_text"))).select(*key, F.posexplode_outer("_parts").alias("at", "chunk"))
     own = own.where(c("chunk").contains("\n") & c("chunk").rlike(r"(?:^|\n)[01][^\n]*[^\x20\x09-\x0D]"))
     own = own.select(F.md5("chunk").alias("chunk_id"), F.struct(*key, "at").alias("place"), "chunk")
     again = own.groupBy("chunk_id").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     again = again.where((c("first") != c("last")) & (c("low") == c("high"))).select("chunk_id", "first")
     gone = own.select("chunk_id", "place").join(again, "chunk_id").where(c("place") != c("first"))
-    gone = gone.select("place.*").groupBy(*key).agg(F.collect_set("at").alias("_gone")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
+    gone = gone.select("place.*").groupBy(*key).agg(F.collect_set("at").alias("_gone"))
     out = d.join(gone, c("_id").eqNullSafe(c("_i")) & (c("_hash") == c("_h")), "left")
     lines = lambda parts: F.when(F.size(parts) > 0, F.size(F.split(F.array_join(parts, "\n"), "\n"))).otherwise(0)
-    # Only texts that lose a chunk are cut again.
-    out = cut(out.withColumn("_text", F.when(c("_gone").isNotNull(), c(text_col))))
+    # Only texts that lose a chunk are cut again. The row itself is one column meanwhile.
+    out = cut(out.select("row", "whole", "_gone", F.when(c("_gone").isNotNull(), c("whole")).alias("_text")))
     out = out.withColumn("_kept", F.filter("_parts", lambda x, i: ~F.array_contains("_gone", i)))
-    total = F.when(c(text_col).isNull(), 0).otherwise(F.char_length(text_col) - F.char_length(F.replace(c(text_col), F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("n_lines", total.cast("long")).withColumn("n_removed", F.when(c("_gone").isNotNull(), total - lines("_kept")).otherwise(0).cast("long"))
-    out = out.withColumn(text_col, F.when(c("_gone").isNotNull(), unmarked(c("_kept"))).otherwise(c(text_col)))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    total = F.when(c("whole").isNull(), 0).otherwise(F.char_length("whole") - F.char_length(F.replace(c("whole"), F.lit("\n"), F.lit(""))) + 1)
+    n_lines, n_removed = total.cast("long"), F.when(c("_gone").isNotNull(), total - lines(c("_kept"))).otherwise(0).cast("long")
+    text = F.when(c("_gone").isNotNull(), unmarked(c("_kept"))).otherwise(c("whole"))
+    return _finished(docs, out, text_col, text, counts, n_lines, n_removed)
 
 
 #: A break before a line that has a word; blank lines stay with the line before them.
 WORDED = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
 
 
-def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """Remove every line of the runs of two or more lines that stand elsewhere too, whatever lies around them.
 
     A run repeats if each two neighbouring lines of it do, so no boundary can hide a part of it. Blank lines
@@ -78,11 +91,11 @@ def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Rows and columns are those of ``dedup_lines``. A text of which no word is left becomes empty.
     """
-    c, key = F.col, ["_id", "_hash"]
+    c, key = F.col, ["_i", "_h"]
     worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     digest = lambda x: F.unhex(F.sha2(x, 256))
-    d = docs.withColumn("_id", c(id_col)).withColumn("_hash", F.xxhash64(text_col))
-    lines = d.select(*key, F.split(text_col, WORDED).alias("_lines"))
+    d = docs.select(c(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), _rest(docs, text_col, counts), c(text_col).alias("whole"))
+    lines = docs.select(c(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.split(text_col, WORDED).alias("_lines"))
     # The line after is compared without its blank lines; a line with blank lines is a run by itself.
     after = lambda i: F.substring_index(F.get("_lines", i + 1), "\n", 1)
     pairs = F.transform("_lines", lambda x, i: F.when(i + 1 < F.size("_lines"), digest(F.concat(x, F.lit("\n"), after(i)))))
@@ -93,16 +106,16 @@ def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     again = runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(c("first") != c("last")).select("run", "first")
     gone = runs.join(again, "run").where(c("place") != c("first"))
     gone = gone.select("place.*", F.explode(F.sequence(c("place.at"), c("place.at") + c("n") - 1)).alias("line"))
-    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
+    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
     out = d.join(gone, c("_id").eqNullSafe(c("_i")) & (c("_hash") == c("_h")), "left")
     # One mark for each line up to the last that goes, so that no line is sought in a list.
     marks = F.transform("_gone", lambda x, k: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("_gone", k - 1), F.lit(-1)) - 1), F.lit("1")))
     out = out.withColumn("_marks", F.split(F.array_join(marks, ""), ""))
-    out = out.withColumn("_lines", F.when(c("_gone").isNotNull(), F.split(text_col, WORDED)))
+    out = out.withColumn("_lines", F.when(c("_gone").isNotNull(), F.split("whole", WORDED)))
     out = out.withColumn("_left", F.array_join(F.filter("_lines", lambda x, i: F.coalesce(F.get("_marks", i), F.lit("0")) == "0"), "\n"))
     breaks = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
-    total = F.when(c(text_col).isNull(), 0).otherwise(breaks(c(text_col)) + 1)
+    total = F.when(c("whole").isNull(), 0).otherwise(breaks(c("whole")) + 1)
     left = F.when(worded(c("_left")), breaks(c("_left")) + 1).otherwise(0)
-    out = out.withColumn("n_lines", total.cast("long")).withColumn("n_removed", F.when(c("_gone").isNotNull(), total - left).otherwise(0).cast("long"))
-    out = out.withColumn(text_col, F.when(c("_gone").isNull(), c(text_col)).when(worded(c("_left")), c("_left")).otherwise(""))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    n_removed = F.when(c("_gone").isNotNull(), total - left).otherwise(0).cast("long")
+    text = F.when(c("_gone").isNull(), c("whole")).when(worded(c("_left")), c("_left")).otherwise("")
+    return _finished(docs, out, text_col, text, counts, total.cast("long"), n_removed)
