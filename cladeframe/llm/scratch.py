@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Bound Arrow batches by rows and bytes while a table is written; the caller's settings come back after it."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {}
+    for k, most in keys.items():
+        now = spark.conf.get(k, None)
+        before[k] = now
+        if now is None or not str(now).lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, now in before.items():
+            spark.conf.unset(k) if now is None else spark.conf.set(k, now)
+
+
 class Scratch:
     """Parquet tables of one operator call under the shared folder.
 
@@ -41,7 +59,8 @@ class Scratch:
         """Write ``df`` and read it again, with the schema known, so that no job infers it."""
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         if not self.paths:
             atexit.register(self.remove)
         self.paths.append(path)
