@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_texts, pieces
+from .arrow import map_texts
+from .scratch import small_batches
 
 #: A letter is a character of the Unicode categories L*.
 LETTER = regex.compile(r"\p{L}")
@@ -125,7 +125,8 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"feature": np.append(seen, -1), "n": np.append(total[seen], n)})
 
-    df = rows.select("text").mapInPandas(document_frequency, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(spark):
+        df = rows.select("text").mapInPandas(document_frequency, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     n_docs = int(df.loc[df.feature == -1, "n"].sum())
     df = df[df.feature >= 0]
     idf = np.zeros(size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,8 +62,11 @@ class Scratch:
         path = f"{self.root}/{self.made:03d}-{name}"
         with small_batches(self.spark):
             df.write.mode("overwrite").parquet(path)
-        if not self.paths:
+        if self.made == 1:
             atexit.register(self.remove)
+        if self.made % 4 == 0:  # else shuffle files of tables that are done stay until the driver happens to collect its garbage
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

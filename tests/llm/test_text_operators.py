@@ -383,7 +383,7 @@ def linked_by_windows(texts):
     return pairs, exact
 
 
-@pytest.mark.parametrize("small", [16, 2])
+@pytest.mark.parametrize("small", [256, 4])
 def test_passages_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(passage_dedup, "SMALL", small)
     rng, rows = np.random.default_rng(5), []
