@@ -39,3 +39,25 @@ def codon_frequencies(usage: DataFrame, code: DataFrame, *, by_position: bool) -
         out = out.join(F.broadcast(side), F.substring("codon", k + 1, 1) == F.col(f"b{k}"))
     out = out.withColumn("f", F.col("f0") * F.col("f1") * F.col("f2"))
     return out.select("codon", "aa", (F.col("f") / F.sum("f").over(Window.partitionBy(F.lit(0)))).alias("freq"))
+
+
+def refined(patterns: DataFrame, full: int, *, precision: float = 1e-8) -> dict[int, float]:
+    """Frequencies of states by expectation and maximisation: an ambiguous cell counts in parts that go as the
+    frequencies themselves. The data reach the driver as one count for each mask, fewer than 2**states."""
+    rows = patterns.select("count", F.explode("p").alias("mask")).groupBy("mask").agg(F.sum("count").alias("n")).where(F.col("mask") != full).collect()
+    states = [1 << i for i in range(full.bit_length())]
+    freq = dict.fromkeys(states, 1 / len(states))
+    while rows:
+        got = dict.fromkeys(states, 0.0)
+        for r in rows:
+            mine = [s for s in states if r["mask"] & s]
+            share = sum(freq[s] for s in mine)
+            for s in mine:
+                got[s] += r["n"] * freq[s] / share if share else 0.0
+        total = sum(got.values())
+        new = {s: got[s] / total for s in states}
+        done = max(abs(new[s] - freq[s]) for s in states) < precision
+        freq = new
+        if done:
+            break
+    return freq

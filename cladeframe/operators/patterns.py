@@ -56,9 +56,14 @@ def previous_in_order(df: DataFrame, order: str, value: str, out: str, *, block:
     key = F.floor(F.col(order) / block).cast("long")
     d = df.withColumn("_block", key)
     last = d.groupBy("_block").agg(F.max_by(value, order).alias("_last"))
-    # One row a block: the table is smaller by the block's size, and is cut into blocks of blocks itself.
-    wb = Window.partitionBy(F.lit(0)).orderBy("_block")
-    before = last.select("_block", F.lag("_last").over(wb).alias("_before"))
+    # One row a block: the table is smaller by the block's size. Its own lags run in blocks of blocks, as long as
+    # there may be many, so that no task sorts all of them.
+    far = last.withColumn("_far", F.floor(F.col("_block") / block).cast("long"))
+    far_last = far.groupBy("_far").agg(F.max_by("_last", "_block").alias("_far_last"))
+    wf = Window.partitionBy(F.lit(0)).orderBy("_far")
+    far_before = far_last.select("_far", F.lag("_far_last").over(wf).alias("_far_before"))
+    wb = Window.partitionBy("_far").orderBy("_block")
+    before = far.join(far_before, "_far").select("_block", F.when(F.row_number().over(wb) == 1, F.col("_far_before")).otherwise(F.lag("_last").over(wb)).alias("_before"))
     w = Window.partitionBy("_block").orderBy(order)
     d = d.join(before, "_block").withColumn("_first", F.row_number().over(w) == 1)
     return d.withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.lag(value).over(w))).drop("_block", "_before", "_first")
@@ -77,3 +82,80 @@ def pair_distances(patterns: DataFrame, n_taxa: int) -> DataFrame:
     both = (F.bit_count("x") == 1) & (F.bit_count("y") == 1)
     zero = F.lit(0).cast("long")
     return d.groupBy("taxon_a", "taxon_b").agg(F.sum(F.when(both, F.col("count")).otherwise(zero)).alias("compared"), F.sum(F.when(both & (F.col("x") != F.col("y")), F.col("count")).otherwise(zero)).alias("different"))
+
+
+def running_total(df: DataFrame, bucket: list[Column], order: list[Column], value: Column, out: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to each, in order of the buckets and then of ``order`` within a bucket.
+
+    Only the bucket's sums, one row each, meet in one task; buckets must be coarse, and agree with the order.
+    """
+    names = [f"_b{i}" for i in range(len(bucket))]
+    d = df.select("*", value.cast("long").alias("_v"), *[x.alias(n) for x, n in zip(bucket, names)])
+    above = Window.partitionBy(F.lit(0)).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*names).agg(F.sum("_v").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(above), F.lit(0).cast("long"))).drop("_s")
+    within = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"d.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names]
+    d = d.alias("d").join(sums.alias("s"), same).select("d.*", "_o")
+    return d.withColumn(out, F.col("_o") + F.sum("_v").over(within)).drop("_v", "_o", *names)
+
+
+def in_pattern_order(patterns: DataFrame, full: int) -> DataFrame:
+    """Number patterns from 1: constant ones first, then by their states taxon by taxon. Rows are bucketed by the first
+    two taxa, so that a position needs no sort of all patterns in one task."""
+    varies = (constant_mask("p", full) == 0).cast("int")
+    return running_total(patterns, [varies, F.get("p", F.lit(0)), F.get("p", F.lit(1))], [F.col("p")], F.lit(1), "position")
+
+
+def drop_taxa(sites: DataFrame, inactive: list[int]) -> DataFrame:
+    """Sites without some taxa, given by number from 1."""
+    gone = F.array(*[F.lit(t) for t in inactive]) if inactive else F.array().cast("array<int>")
+    return sites.withColumn("p", F.filter("p", lambda x, i: ~F.array_contains(gone, i + 1)))
+
+
+def add_taxon(sites: DataFrame, mask: int) -> DataFrame:
+    """Sites with one more taxon that has the same state everywhere, such as a root that may be anything."""
+    return sites.withColumn("p", F.concat("p", F.array(F.lit(mask))))
+
+
+def without_missing(patterns: DataFrame, full: int) -> DataFrame:
+    """Patterns in which some taxon is known."""
+    return patterns.where(F.exists("p", lambda x: x != full))
+
+
+def partly_ambiguous(cells: DataFrame, full: int) -> DataFrame:
+    """How many cells of each taxon have some states, but neither one nor all (taxon, n_partial)."""
+    part = (F.bit_count("mask") > 1) & (F.col("mask") != full)
+    return cells.groupBy("taxon").agg(F.sum(part.cast("long")).alias("n_partial"))
+
+
+def in_subsets(sites: DataFrame, subsets: DataFrame) -> DataFrame:
+    """Sites in the subsets of a character partition, whose ranges (subset, first, last, step) are a short list. A
+    site in two subsets raises an error; sites in none are left out."""
+    r = F.broadcast(subsets)
+    got = sites.join(r, (sites["site"] >= r["first"]) & (sites["site"] <= r["last"]) & ((sites["site"] - r["first"]) % r["step"] == 0))
+    return got.drop("first", "last", "step")
+
+
+def column_ranges(columns: DataFrame, *, block: int = 4096) -> DataFrame:
+    """Numbers (site) as ranges (first, last) that end at the borders of blocks."""
+    d = columns.select("site").distinct().withColumn("_block", F.floor(F.col("site") / block))
+    w = Window.partitionBy("_block").orderBy("site")
+    d = d.withColumn("_run", F.col("site") - F.row_number().over(w))
+    return d.groupBy("_block", "_run").agg(F.min("site").alias("first"), F.max("site").alias("last")).select("first", "last")
+
+
+def codons(cells: DataFrame, full: int) -> DataFrame:
+    """Cells (taxon, site from 1, mask of A=1 C=2 G=4 T=8) to codons (taxon, codon from 0, codon_index): three sites
+    each; null where one of them is absent or not a single base."""
+    base = F.when(F.bit_count("mask") == 1, F.log2("mask").cast("int"))
+    k = (F.col("site") - 1) % 3
+    at = lambda j: F.max(F.when(k == j, base))
+    d = cells.where(F.col("mask") != full).groupBy("taxon", F.floor((F.col("site") - 1) / 3).alias("codon"))
+    return d.agg((at(0) * 16 + at(1) * 4 + at(2)).alias("codon_index"))
+
+
+def translated(coded: DataFrame, code: DataFrame, *, ignore_stops: bool = False) -> DataFrame:
+    """Amino acids of codons: ``?`` for unknown ones. A stop raises an error, or with ``ignore_stops`` is unknown."""
+    out = coded.join(F.broadcast(code.select("codon_index", "aa")), "codon_index", "left").withColumn("aa", F.coalesce("aa", F.lit("?")))
+    stop = F.lit("?") if ignore_stops else F.raise_error(F.lit("a stop codon")).cast("string")
+    return out.withColumn("aa", F.when(F.col("aa") == "*", stop).otherwise(F.col("aa")))

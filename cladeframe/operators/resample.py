@@ -2,42 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patterns import running_total
+
 #: Fixed values of the generator x' = 16807 x mod (2**31 - 1).
 MULTIPLIER, MODULUS = 16807, 2147483647
 #: Draws made from one row.
 BLOCK = 4096
 
 
-def lcg_draws(spark: SparkSession, replicates: int, draws: int, seed: int) -> DataFrame:
-    """(rep, draw, x): draw n of replicate r is 16807**n (seed + r) mod 2**31 - 1, each by itself."""
-    jump = spark.createDataFrame([(n, pow(MULTIPLIER, n, MODULUS)) for n in range(1, draws + 1)], "draw int, m long")
-    reps = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("rep"))
-    return reps.join(F.broadcast(jump)).select("rep", "draw", ((F.col("rep") + seed).cast("long") * F.col("m") % MODULUS).alias("x"))
+def powers_of_two(bits: int = 40) -> list[int]:
+    """The multiplier to the powers of two, which make any jump ahead."""
+    return [pow(MULTIPLIER, 1 << k, MODULUS) for k in range(bits)]
+
+
+def jumped(seed: Column, steps: Column, bits: int = 40) -> Column:
+    """The state of the generator so many steps after a seed, bit by bit, so that each draw is made by itself."""
+    powers = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(m).cast("long").alias("m")) for k, m in enumerate(powers_of_two(bits))])
+    return F.aggregate(powers, seed.cast("long"), lambda x, p: F.when(steps.bitwiseAND(p["bit"]) != 0, x * p["m"] % MODULUS).otherwise(x))
+
 
+def lcg_replicates(patterns: DataFrame, replicates: int, seed: int, *, proportion: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """Draws (keys, rep, draw, x), as many for each replicate as ``proportion`` of what the counts of ``patterns`` sum to.
 
-def lcg_replicates(patterns: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Draws as of ``lcg_draws``, as many for each replicate as the counts of ``patterns`` sum to. The power of the
-    multiplier is made bit by bit in each row, so no list of draws is on the driver."""
-    spark, c = patterns.sparkSession, F.col
-    total = patterns.agg(F.sum("count").alias("total")).where("total > 0")
+    All draws are one stream: replicate r begins where the one before ends, and with ``keys`` each subset begins
+    where the one before it ends, so that no two share numbers. No list of draws is on the driver.
+    """
+    spark, c, keys = patterns.sparkSession, F.col, keys or []
+    total = patterns.groupBy(*keys).agg(F.sum("count").alias("total")).where("total > 0") if keys else patterns.agg(F.sum("count").alias("total")).where("total > 0")
+    total = total.withColumn("total", F.round(c("total") * proportion).cast("long"))
+    # One row for each subset; their sum is the length of a replicate.
+    one = Window.partitionBy(F.lit(0))
+    before = one.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1) if keys else None
+    total = total.withColumn("skip", F.coalesce(F.sum("total").over(before), F.lit(0)) if keys else F.lit(0).cast("long")).withColumn("each", F.sum("total").over(one))
     reps = spark.range(1, replicates + 1).select(c("id").cast("int").alias("rep"))
-    blocks = reps.join(F.broadcast(total)).select("rep", "total", F.explode(F.sequence(F.lit(0), F.floor((c("total") - 1) / BLOCK))).alias("block"))
-    draws = blocks.repartition("rep", "block").select("rep", F.explode(F.sequence(c("block") * BLOCK + 1, F.least(c("total"), (c("block") + 1) * BLOCK))).alias("draw"))
-    powers = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(pow(MULTIPLIER, 1 << k, MODULUS)).cast("long").alias("m")) for k in range(40)])
-    x = F.aggregate(powers, (c("rep") + seed).cast("long"), lambda x, p: F.when(c("draw").bitwiseAND(p["bit"]) != 0, x * p["m"] % MODULUS).otherwise(x))
-    return draws.select("rep", "draw", x.alias("x"))
+    blocks = reps.join(F.broadcast(total)).where("total > 0").select(*keys, "rep", "total", "skip", "each", F.explode(F.sequence(F.lit(0), F.floor((c("total") - 1) / BLOCK))).alias("block"))
+    draws = blocks.repartition(*keys, "rep", "block").select(*keys, "rep", "skip", "each", F.explode(F.sequence(c("block") * BLOCK + 1, F.least(c("total"), (c("block") + 1) * BLOCK))).alias("draw"))
+    step = (c("rep") - 1) * c("each") + c("skip") + c("draw")
+    return draws.withColumn("step", step).select(*keys, "rep", "draw", jumped(F.lit(seed), c("step")).alias("x"))
 
 
-def bootstrap_counts(patterns: DataFrame, draws: DataFrame, *, order: str, width: int = 64) -> DataFrame:
+def bootstrap_counts(patterns: DataFrame, draws: DataFrame, *, order: str, width: int = 64, keys: list[str] | None = None) -> DataFrame:
     """Counts of patterns per replicate: a draw x hits the pattern whose cumulative interval holds x mod N.
-    The range join is an equi-join on buckets of ``width``, each pattern in the buckets it spans."""
-    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    p = patterns.withColumn("hi", F.sum("count").over(run)).withColumn("lo", F.col("hi") - F.col("count"))
-    p = p.select("*", F.explode_outer(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("bucket"))
-    total = patterns.agg(F.sum("count").alias("total"))
-    d = draws.join(F.broadcast(total)).withColumn("u", F.col("x") % F.col("total")).withColumn("bucket", F.floor(F.col("u") / width))
-    hit = d.join(p, "bucket").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    return hit.groupBy("rep", order).agg(F.count("*").alias("n"))
+    The range join is an equi-join on buckets of ``width``, each pattern in the buckets it spans. Cumulative counts
+    run in blocks of 4096 of the order, so that no task sorts all patterns."""
+    c, keys = F.col, keys or []
+    block = [c(k) for k in keys] + [F.floor(c(order) / 4096)]
+    p = running_total(patterns, block, [c(order)], c("count"), "hi").withColumn("lo", c("hi") - c("count"))
+    if keys:  # within each subset from 0
+        p = p.join(p.groupBy(*keys).agg(F.min("lo").alias("base")), keys).withColumn("hi", c("hi") - c("base")).withColumn("lo", c("lo") - c("base"))
+    p = p.select(*keys, order, "lo", "hi", F.explode_outer(F.sequence(F.floor(c("lo") / width), F.floor((c("hi") - 1) / width))).alias("bucket"))
+    total = patterns.groupBy(*keys).agg(F.sum("count").alias("total")) if keys else patterns.agg(F.sum("count").alias("total"))
+    d = draws.join(F.broadcast(total), keys) if keys else draws.join(F.broadcast(total))
+    d = d.withColumn("u", c("x") % c("total")).withColumn("bucket", F.floor(c("u") / width))
+    hit = d.join(p, [*keys, "bucket"]).where((c("u") >= c("lo")) & (c("u") < c("hi")))
+    return hit.groupBy(*keys, "rep", order).agg(F.count("*").alias("n"))
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) for each key: the generator's next state from key and seed, as a share of the modulus."""
+    return jumped((key.cast("long") + seed) % (MODULUS - 1) + 1, F.lit(3).cast("long"), 2) / MODULUS
+
+
+def ratchet(patterns: DataFrame, seed: int, *, up: float = 0.25, down: float = 0.25) -> DataFrame:
+    """Reweight patterns: one more with probability ``up``, one less, but not below 0, with ``down``. The original count
+    stays beside the new one (orig_count, count), so that ``reset`` can bring it back."""
+    u = uniform(F.col("first_site"), seed)
+    change = F.when(u < up, 1).when(u >= 1 - down, -1).otherwise(0)
+    return patterns.withColumnRenamed("count", "orig_count").withColumn("count", F.greatest(F.lit(0).cast("long"), F.col("orig_count") + change))
+
+
+def reset(patterns: DataFrame) -> DataFrame:
+    """Bring the original counts back."""
+    return patterns.withColumn("count", F.col("orig_count")).drop("orig_count")
+
+
+def without_conditioned(patterns: DataFrame, conditioned: DataFrame) -> DataFrame:
+    """Patterns that may be drawn: those (p) that a model conditions on are no data."""
+    return patterns.join(F.broadcast(conditioned.select("p")), "p", "left_anti")
+
+
+def exponential(u: Column, rate: float) -> Column:
+    return -F.ln(u) / rate
+
+
+def shuffled(df: DataFrame, key: Column, seed: int) -> Column:
+    """A number to order rows by, at random but always alike."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))

@@ -76,7 +76,6 @@ SQL = {
     "q33_best_of_replicates": "SELECT o_custkey, o_totalprice AS best, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1",
     "q34_best_so_far": "SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best FROM events",
     "q35_rank_individuals": "SELECT c_custkey, c_nationkey, (rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC))::INT AS rank FROM customer",
-    "q36_lcg_bootstrap": f"WITH RECURSIVE sites AS (SELECT o_custkey AS site, {_PRIO} FROM orders GROUP BY 1), pats AS (SELECT min(site) AS first_site, count(*) AS n FROM sites GROUP BY p0, p1, p2, p3, p4), cum AS (SELECT first_site, sum(n) OVER (ORDER BY first_site) AS hi, sum(n) OVER (ORDER BY first_site) - n AS lo, sum(n) OVER () AS total FROM pats), draws AS (SELECT r::INT AS rep, 0 AS draw, (r + 42)::BIGINT AS x FROM range(1, 11) t(r) UNION ALL SELECT rep, draw + 1, x * 16807 % 2147483647 FROM draws WHERE draw < 200) SELECT rep, first_site, count(*) AS n FROM draws JOIN cum ON x % total >= lo AND x % total < hi WHERE draw > 0 GROUP BY 1, 2",
     "q37_swap_dedupe": "SELECT event_type, count(*) AS unique_swaps, sum(times)::BIGINT AS total_swaps, max(times) AS most FROM (SELECT user_id, event_type, count(*) AS times FROM events GROUP BY 1, 2) GROUP BY 1",
     "q38_cross_alignment_columns": f"WITH {_SITES}, k AS (SELECT {_TEXT} AS pattern, site % 2 AS side FROM sites) SELECT pattern, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b FROM k GROUP BY 1 HAVING n_a > 0 AND n_b > 0",
     "q39_jc_likelihood_pair": _BASE + f", {_DIST} SELECT taxon_a, taxon_b, round(CASE WHEN different / compared < 0.75 THEN -0.75::DOUBLE * ln(1 - different / compared * 4 / 3) END, 6) AS jc_distance FROM dist",

@@ -239,7 +239,7 @@ def q35_rank_individuals(s, d):
 
 def q36_lcg_bootstrap(s, d):
     p = patterns.collapse(priority_sites(s, d)).select("first_site", "count")
-    return resample.bootstrap_counts(p, resample.lcg_draws(s, 10, 200, 42), order="first_site")
+    return resample.bootstrap_counts(p, resample.lcg_replicates(p, 10, 42), order="first_site")
 
 
 def q37_swap_dedupe(s, d):
@@ -292,7 +292,8 @@ TREES7 = [(1, "(1:0.1,2:0.1,(3:0.1,(4:0.1,(5:0.1,(6:0.1,7:0.1):0.05):0.05):0.05)
 
 def k01_score_tree(s, d):
     """Total and per-tree log-likelihoods of two stated trees under a three-state model."""
-    return score_trees(_collapsed(s, d), s.createDataFrame(TREES7, "tree_id int, newick string"), mk(3), TAXA7)
+    out = score_trees(_collapsed(s, d), s.createDataFrame(TREES7, "tree_id int, newick string"), mk(3), TAXA7)
+    return out.select("tree_id", F.round("lnl", 4).alias("lnl"))
 
 
 def k02_newton_branch(s, d):
@@ -323,4 +324,6 @@ def k05_site_likelihoods(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in sorted(globals().items()) if k[0] in "qk" and k[1:3].isdigit()}
+    from . import catalogue
+
+    return {k: f for k, f in sorted(globals().items()) if k[0] in "qk" and k[1:3].isdigit()} | catalogue.queries()
