@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 #: Option names and the defaults that the file format gives them.
@@ -50,6 +51,25 @@ class RunConfig:
         except (KeyError, ValueError):
             raise ValueError(f"[{section}] {name} = {raw} is no {type(default).__name__}") from None
 
+    def number(self, section: str, name: str, *, positive: bool = False, low: float | None = None, high: float | None = None, optional: bool = False):
+        """A number within bounds; an absent one raises, or with ``optional`` is None."""
+        value = self.get(section, name)
+        if value is None:
+            if optional:
+                return None
+            raise ValueError(f"[{section}] {name} is missing")
+        value = float(value) if isinstance(value, str) else value
+        if positive and value <= 0 or low is not None and value < low or high is not None and value > high:
+            raise ValueError(f"[{section}] {name} = {value} is out of range")
+        return value
+
+    def ranges(self, section: str, name: str, last: int = 0) -> list[int]:
+        """A list of numbers and ranges such as ``1-3 7``; empty if it is absent or none."""
+        from .alignment import column_ranges
+
+        raw = self.sections.get(section, {}).get(name, "none")
+        return [] if raw.lower() == "none" else column_ranges(raw, last)
+
     def validate(self) -> list[str]:
         """What does not go together; empty if the run can start."""
         wrong = []
@@ -80,21 +100,38 @@ def rate_classes(text: str) -> list[int]:
     return out
 
 
-def model_parameters(text: str) -> dict[str, list[float]]:
-    """A parameter line such as ``r 1 2 1 1 2 1 e .25 .25 .25 .25 a .5 p .2``: values by letter."""
-    out: dict[str, list[float]] = {}
-    key = None
+def model_parameters(text: str) -> dict[str, dict[str, list[float]]]:
+    """Parameter lines such as ``M1 r 1 2 1 1 2 1 e .25 .25 .25 .25 a .5 p .2`` and ``S 0.5 1.5``: by tag of the subset (M1
+    where there is none, S for the subsets' rates) the values of each letter; those of S have no letter."""
+    out: dict[str, dict[str, list[float]]] = {}
+    tag, key = "M1", None
     for token in text.replace(";", " ").split():
-        if token.isalpha():
-            key = token
-            out.setdefault(key, [])
+        if re.fullmatch(r"[mM]\d+", token):
+            tag, key = token.upper(), None
+        elif token in ("S", "s") and (key is None or tag != "S"):
+            tag, key = "S", ""
+            out.setdefault("S", {}).setdefault("", [])
+        elif token.isalpha():
+            if tag == "S":
+                tag = "M1"
+            key = token.lower()
+            out.setdefault(tag, {}).setdefault(key, [])
         elif key is None:
             raise ValueError(f"a value without a letter: {token}")
         else:
-            out[key].append(float(token))
+            out[tag][key].append(float(token))
     return out
 
 
+def recorded(text: str) -> list[dict]:
+    """What tree lines have in brackets: name, tree, and where given the score and the model's parameters."""
+    found = []
+    for m in re.finditer(r"\b[uU]?[tT][rR][eE][eE]\s+\*?\s*(\S+)\s*=\s*((?:\[[^\]]*\]\s*)*)(\(.*?;)", text, re.S):
+        score, model = re.search(r"[Ss]core\s+(-?[\d.]+)", m[2]), re.search(r"[Mm]odel\s+([^\]]*)\]", m[2])
+        found.append({"name": m[1], "newick": re.sub(r"\[[^\]]*\]", "", m[3]), "score": float(score[1]) if score else None, "parameters": model_parameters(model[1]) if model else {}})
+    return found
+
+
 @dataclass(frozen=True)
 class Constraint:
     """A split that trees must have, or with ``positive`` False must not have; ``mask`` has the taxa that count."""

@@ -80,12 +80,17 @@ def write_newick(tree: Tree, digits: int = 8) -> str:
     def quoted(s: str | None) -> str:
         return "" if s is None else s if re.fullmatch(r"[^\s(),:;\[\]']+", s) else "'" + s.replace("'", "''") + "'"
 
-    def text(n: int) -> str:
-        inner = "(" + ",".join(text(k) for k in kids[n]) + ")" if kids[n] else ""
-        tail = f":{tree.length[n]:.{digits}f}" if tree.length[n] is not None else ""
-        return inner + quoted(tree.label[n]) + tail
-
-    return text(0) + ";"
+    # Children first, without recursion: a ladder may have any depth.
+    order, todo = [], [0]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += kids[n]
+    out: dict[int, str] = {}
+    for n in reversed(order):
+        inner = "(" + ",".join(out.pop(k) for k in kids[n]) + ")" if kids[n] else ""
+        out[n] = inner + quoted(tree.label[n]) + (f":{tree.length[n]:.{digits}f}" if tree.length[n] is not None else "")
+    return out[0] + ";"
 
 
 def nodes_of(trees: DataFrame) -> DataFrame:
