@@ -121,6 +121,73 @@ def codon_model(exchange: np.ndarray, codon_freqs: np.ndarray, aa: str, omega: f
     return _with_gamma(x, codon_freqs, None, 1, 0.0)
 
 
+def hky(kappa: float, freqs: list[float], **gamma) -> Model:
+    """Two rates: transitions A-G and C-T ``kappa`` times as fast as transversions."""
+    return gtr([1, kappa, 1, 1, kappa, 1], freqs, **gamma)
+
+
+def classed(classes: list[int], values: dict[int, float], freqs: list[float], **gamma) -> Model:
+    """Exchange rates by class, as of ``rate_classes``: those of one class are equal."""
+    return gtr([values[k] for k in classes], freqs, **gamma)
+
+
+def flexible(model: Model, rates: list[float], shares: list[float]) -> Model:
+    """Free rate classes: shares are made to sum to 1, rates to a mean of 1."""
+    w = np.array(shares, float) / sum(shares)
+    r = np.array(rates, float)
+    return Model(model.exchange, model.freqs, r / (w @ r), w * (1 - model.pinv), model.pinv)
+
+
+@dataclass
+class Mixture:
+    """Classes that differ in their rate matrix, not in speed alone. They are scaled together: a branch's length is the
+    number of changes that a site has on average over the classes."""
+
+    parts: list[Model]
+    shares: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.freqs, self.pinv = self.parts[0].freqs, 0.0
+        speed = []
+        for m in self.parts:
+            q = m.exchange * m.freqs
+            np.fill_diagonal(q, 0)
+            speed.append(m.freqs @ q.sum(1))
+        self.weights = np.array(self.shares, float) / np.sum(self.shares)
+        self.rates = np.array(speed) / (self.weights @ np.array(speed))
+
+    def transition(self, t: float, order: int = 0) -> np.ndarray:
+        return np.concatenate([m.transition(t * r, order) * r**order for m, r in zip(self.parts, self.rates)])
+
+
+def codon_mixture(exchange: np.ndarray, codon_freqs: np.ndarray, aa: str, omegas: list[float], shares: list[float]) -> Mixture:
+    """Codons whose sites fall in classes of different omega, given in rising order."""
+    if sorted(omegas) != list(omegas):
+        raise ValueError("omegas must rise")
+    return Mixture([codon_model(exchange, codon_freqs, aa, w) for w in omegas], np.array(shares, float))
+
+
+def exchange_from_text(text: str, n_states: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange rates as a lower triangle, row by row, and then the frequencies, as published matrices are given."""
+    import re
+
+    numbers = [float(x) for x in re.findall(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", text)]
+    need = n_states * (n_states - 1) // 2
+    if len(numbers) < need + n_states:
+        raise ValueError(f"{need + n_states} numbers are needed")
+    x = np.zeros((n_states, n_states))
+    x[np.tril_indices(n_states, -1)] = numbers[:need]
+    f = np.array(numbers[need : need + n_states])
+    return x + x.T, f / f.sum()
+
+
+def amino_acid_model(exchange: np.ndarray | None, freqs: np.ndarray | None = None, **gamma) -> Model:
+    """Amino acids in the order of the matrix; without one all exchanges are alike."""
+    x = np.ones((20, 20)) if exchange is None else exchange
+    f = np.full(20, 1 / 20) if freqs is None else np.array(freqs, float)
+    return _with_gamma(x, f, gamma.get("alpha"), gamma.get("n_classes", 4), gamma.get("pinv", 0.0))
+
+
 def _with_gamma(x: np.ndarray, freqs: np.ndarray, alpha: float | None, n_classes: int, pinv: float) -> Model:
     n = n_classes if alpha else 1
     return Model(x, freqs, discrete_gamma(alpha, n) if alpha else np.ones(1), np.full(n, (1 - pinv) / n), pinv)

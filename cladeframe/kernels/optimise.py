@@ -62,3 +62,89 @@ def optimise_gtr(masks: np.ndarray, taxa: list[str], counts: np.ndarray, tree: T
             break
     x["freqs"] = [f / sum(x["freqs"]) for f in x["freqs"]]
     return x, best
+
+
+def bracket(f: Callable[[float], float], x: float, step: float, low: float, high: float) -> tuple[float, float, float]:
+    """Three places, the middle one no worse than the others, by strides that grow from x; or one at a bound."""
+    a, b = x, min(max(x + step, low), high)
+    fa, fb = f(a), f(b)
+    if fb < fa:
+        a, b, fa, fb = b, a, fb, fa
+    while True:
+        c = min(max(b + 1.618 * (b - a), low), high)
+        if c == b or f(c) <= fb:
+            return a, b, c
+        a, b, fb = b, c, f(c)
+
+
+def brent(f: Callable[[float], float], low: float, high: float, precision: float = 1e-6, rounds: int = 100) -> tuple[float, float]:
+    """The place and value of a maximum of f in [low, high], by parabolas where they help and golden sections elsewhere."""
+    a, b = min(low, high), max(low, high)
+    x = w = v = a + (1 - RATIO) * (b - a)
+    fx = fw = fv = f(x)
+    d = e = 0.0
+    for _ in range(rounds):
+        mid, tol = (a + b) / 2, precision * abs(x) + 1e-12
+        if abs(x - mid) <= 2 * tol - (b - a) / 2:
+            break
+        use = False
+        if abs(e) > tol:
+            r, q = (x - w) * (fv - fx), (x - v) * (fw - fx)
+            p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
+            p, q = (-p, q) if q > 0 else (p, -q)
+            if abs(p) < abs(q * e / 2) and q * (a - x) < p < q * (b - x):
+                e, d, use = d, p / q, True
+        if not use:
+            e = (b - x) if x < mid else (a - x)
+            d = (1 - RATIO) * e
+        u = x + (d if abs(d) >= tol else (tol if d > 0 else -tol))
+        fu = f(u)
+        if fu >= fx:
+            a, b = (x, b) if u >= x else (a, x)
+            v, w, x, fv, fw, fx = w, x, u, fw, fx, fu
+        else:
+            a, b = (u, b) if u < x else (a, u)
+            if fu >= fw or w == x:
+                v, w, fv, fw = w, u, fw, fu
+            elif fu >= fv or v in (x, w):
+                v, fv = u, fu
+    return x, fx
+
+
+def optimise_scale(score: Callable[[Tree], float], tree: Tree) -> float:
+    """Multiply all branches by the best factor; returns the score."""
+    lengths = list(tree.length)
+
+    def scaled(x: float) -> float:
+        tree.length = [None if t is None else t * float(np.exp(x)) for t in lengths]
+        return score(tree)
+
+    at, value = brent(scaled, -2.0, 2.0, 1e-5)
+    return scaled(at)
+
+
+def optimise_rates(make: Callable[[list[float]], float], sizes: list[float], rates: list[float], passes: int = 5) -> tuple[list[float], float]:
+    """Rates of subsets that maximise a score, with a mean of 1 over all sites."""
+    def mean_one(r: list[float]) -> list[float]:
+        k = sum(x * n for x, n in zip(r, sizes)) / sum(sizes)
+        return [x / k for x in r]
+
+    rates, best = mean_one(rates), make(mean_one(rates))
+    for _ in range(passes):
+        start = best
+        for i in range(len(rates)):
+            put = lambda x, i=i: mean_one([float(np.exp(x)) if j == i else r for j, r in enumerate(rates)])
+            at, value = brent(lambda x: make(put(x)), float(np.log(rates[i])) - 1.5, float(np.log(rates[i])) + 1.5, 1e-4)
+            if value > best:
+                rates, best = put(at), value
+        if best - start < 1e-3:
+            break
+    return rates, best
+
+
+def mutated(value: list[float], rng: np.random.Generator, shape: float = 1000.0) -> list[float]:
+    """One of some positive parameters times a gamma variate of mean 1; their sum stays."""
+    out = list(value)
+    i = int(rng.integers(len(out)))
+    out[i] *= float(rng.gamma(shape, 1 / shape))
+    return [x * sum(value) / sum(out) for x in out] if len(out) > 1 else out
