@@ -54,6 +54,12 @@ class Alignment:
             raise ValueError(f"every column of {', '.join(empty)} is excluded")
         return out
 
+    @property
+    def full(self) -> int:
+        """The mask of a cell that may be any state."""
+        n = 4 if self.datatype in ("dna", "rna", "nucleotide") else 20 if self.datatype in ("protein", "aminoacid") else len(self.symbols)
+        return (1 << n) - 1
+
     def masks(self, columns: list[int] | None = None) -> list[list[int]]:
         """State masks, one row for each taxon: a bit for each state; a gap or missing cell may be any state."""
         from ..functions.encode import AMINO_ACIDS, IUPAC
