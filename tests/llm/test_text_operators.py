@@ -383,9 +383,10 @@ def linked_by_windows(texts):
     return pairs, exact
 
 
-@pytest.mark.parametrize("small", [256, 4])
+@pytest.mark.parametrize("small", [128, 4])
 def test_passages_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(passage_dedup, "SMALL", small)
+    monkeypatch.setattr(passage_dedup, "LATER", small)
     rng, rows = np.random.default_rng(5), []
     line = prose(77, 12)
     for f in range(8):
