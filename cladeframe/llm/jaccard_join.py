@@ -43,6 +43,8 @@ from .shingles import Hasher, mix, set_hash
 
 #: Size classes for parts grow by this factor.
 CLASS_RATIO = 1.5
+#: Sets of more parts are not dealt again for empty ones: at worst no part with elements agrees with a probability of 1e-24.
+MANY_PARTS = 128
 #: Regions of up to so many documents, with differences of up to so many elements, are compared in full by one task.
 SMALL, SMALL_ELEMENTS = 512, 1 << 22
 #: Cells of the matrices of a comparison.
@@ -100,8 +102,9 @@ def signatures(n: np.ndarray, values: np.ndarray, classes: Classes) -> tuple[np.
         full = count > 0
         rows.append(chosen[which[full]])
         sigs.append(mix(code[full] ^ tag[full], 4))
-        # Agreement on an empty part says nothing: there the set is dealt again, by another hash.
-        for e in np.flatnonzero(~full):
+        # Agreement on an empty part says nothing: there the set is dealt again, by another hash. Of many parts a linked
+        # pair agrees on a third or more, and that all these are empty is less likely than that hashes agree by chance.
+        for e in np.flatnonzero(~full & (parts[which] <= MANY_PARTS)):
             k = which[e]
             own_x = values[starts[chosen[k]] : starts[chosen[k]] + size[k]]
             y = mix(own_x, 5)
