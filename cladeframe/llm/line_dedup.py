@@ -46,8 +46,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Remove chunks of two or more lines that stand elsewhere too.
 
     Of the places of a chunk the first stays, by id (null first), text hash and position; the chunk is
-    removed from all others, but only if all places agree byte by byte. Chunks of one line, or without
-    any word, stay.
+    removed from all others. Chunks are compared by SHA-256, so that no text is moved for it. Chunks of one line,
+    or without any word, stay.
 
     One row for each row of ``docs`` with all its columns, ``text`` cut, and ``counts``: lines, and lines removed. A
     column of ``docs`` with the name of a count is replaced by it; no other name clashes.
@@ -60,9 +60,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cut = lambda x: x.withColumn("_lines", hashed).withColumn("_parts", parts).drop("_lines")
     own = cut(docs.select(c(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), c(text_col).alias("_text"))).select(*key, F.posexplode_outer("_parts").alias("at", "chunk"))
     own = own.where(c("chunk").contains("\n") & c("chunk").rlike(r"(?:^|\n)[01][^\n]*[^\x20\x09-\x0D]"))
-    own = own.select(F.md5("chunk").alias("chunk_id"), F.struct(*key, "at").alias("place"), "chunk")
-    again = own.groupBy("chunk_id").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    again = again.where((c("first") != c("last")) & (c("low") == c("high"))).select("chunk_id", "first")
+    own = own.select(F.unhex(F.sha2("chunk", 256)).alias("chunk_id"), F.struct(*key, "at").alias("place"))
+    again = own.groupBy("chunk_id").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(c("first") != c("last")).select("chunk_id", "first")
     gone = own.select("chunk_id", "place").join(again, "chunk_id").where(c("place") != c("first"))
     gone = gone.select("place.*").groupBy(*key).agg(F.collect_set("at").alias("_gone"))
     out = d.join(gone, c("_id").eqNullSafe(c("_i")) & (c("_hash") == c("_h")), "left")

@@ -295,6 +295,12 @@ def test_compact_windows_cover_all_minima():
             assert sum(a <= i <= m <= j <= b and m == c for a, m, b in windows) == 1
 
 
+def test_chunks_are_compared_without_their_text(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")], "doc_id long, text string")
+    plan = line_dedup.dedup_lines(d)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2(" in plan and "min(chunk" not in plan and "max(chunk" not in plan
+
+
 def test_whole_runs_go(spark, nothing):
     rng = np.random.default_rng(31)
     passages = ["\n".join(prose(int(rng.integers(1 << 30)), 8) for _ in range(n)) for n in (2, 3, 4, 7, 12, 30)]
