@@ -39,9 +39,11 @@ def lcg_replicates(patterns: DataFrame, replicates: int, seed: int, *, proportio
     total = total.withColumn("skip", F.coalesce(F.sum("total").over(before), F.lit(0)) if keys else F.lit(0).cast("long")).withColumn("each", F.sum("total").over(one))
     reps = spark.range(1, replicates + 1).select(c("id").cast("int").alias("rep"))
     blocks = reps.join(F.broadcast(total)).where("total > 0").select(*keys, "rep", "total", "skip", "each", F.explode(F.sequence(F.lit(0), F.floor((c("total") - 1) / BLOCK))).alias("block"))
-    draws = blocks.repartition(*keys, "rep", "block").select(*keys, "rep", "skip", "each", F.explode(F.sequence(c("block") * BLOCK + 1, F.least(c("total"), (c("block") + 1) * BLOCK))).alias("draw"))
-    step = (c("rep") - 1) * c("each") + c("skip") + c("draw")
-    return draws.withColumn("step", step).select(*keys, "rep", "draw", jumped(F.lit(seed), c("step")).alias("x"))
+    # A block jumps to its start, a draw from there.
+    step = (c("rep") - 1) * c("each") + c("skip") + c("block") * BLOCK
+    blocks = blocks.withColumn("step", step).select(*keys, "rep", "total", "block", jumped(F.lit(seed), c("step")).alias("start"))
+    draws = blocks.repartition(*keys, "rep", "block").select(*keys, "rep", "block", "start", F.explode(F.sequence(F.lit(1).cast("long"), F.least(c("total") - c("block") * BLOCK, F.lit(BLOCK)))).alias("i"))
+    return draws.select(*keys, "rep", (c("block") * BLOCK + c("i")).alias("draw"), jumped(c("start"), c("i"), BLOCK.bit_length()).alias("x"))
 
 
 def bootstrap_counts(patterns: DataFrame, draws: DataFrame, *, order: str, width: int = 64, keys: list[str] | None = None) -> DataFrame:
@@ -57,7 +59,8 @@ def bootstrap_counts(patterns: DataFrame, draws: DataFrame, *, order: str, width
     total = patterns.groupBy(*keys).agg(F.sum("count").alias("total")) if keys else patterns.agg(F.sum("count").alias("total"))
     d = draws.join(F.broadcast(total), keys) if keys else draws.join(F.broadcast(total))
     d = d.withColumn("u", c("x") % c("total")).withColumn("bucket", F.floor(c("u") / width))
-    hit = d.join(p, [*keys, "bucket"]).where((c("u") >= c("lo")) & (c("u") < c("hi")))
+    # Draws are made by exploding a few rows, so that the planner takes them for a small table; it must not broadcast them.
+    hit = d.join(p.hint("merge"), [*keys, "bucket"]).where((c("u") >= c("lo")) & (c("u") < c("hi")))
     return hit.groupBy(*keys, "rep", order).agg(F.count("*").alias("n"))
 
 

@@ -72,3 +72,13 @@ def test_replicates_are_whole(spark, monkeypatch):
     queries.k03_bootstrap_search(spark, DATA)
     sites = seen[0][0].agg(F.sum("count")).first()[0]
     assert {r["n"] for r in seen[0][1].groupBy("rep").agg(F.sum("n").alias("n")).collect()} == {sites}
+
+
+def test_draws_are_not_broadcast(spark):
+    from cladeframe.operators import resample
+
+    p = spark.createDataFrame([(1, 5000), (2, 4321)], "first_site long, count long")
+    out = resample.bootstrap_counts(p, resample.lcg_replicates(p, 2, 7), order="first_site")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin [bucket" in plan
+    assert out.groupBy("rep").sum("n").collect() and {r[1] for r in out.groupBy("rep").sum("n").collect()} == {9321}
