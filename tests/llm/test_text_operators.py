@@ -426,3 +426,14 @@ def test_frequent_pre_tokens_are_of_all_partitions(spark):
     assert {" alpha", " beta", " gamma", " delta"} <= set(table)
     long = spark.createDataFrame([(1, " epsilon" * 20000)], "doc_id long, text string")
     assert " epsilon" in token_count._frequent(long, "doc_id", "text", t, [], 100, 200)
+
+
+def test_repeated_chunks_go_before_runs(spark, monkeypatch):
+    seen, write = {}, line_dedup.Scratch.write
+    monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: seen.setdefault(name, write(self, df, name)))
+    text = "\n".join(f"line {i} of it" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, f"other\n{text}\n\nlast"), (None, "line 3 of it\nline 4 of it"), (4, "alone")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_runs(docs).collect()}
+    assert got == {1: ("\n".join(f"line {i} of it" for i in range(60) if i not in (3, 4)), 2), 2: ("other\nlast", 61), None: ("line 3 of it\nline 4 of it", 0), 4: ("alone", 0)}
+    gone = [(r._i, r.n) for r in seen["chunks"].collect()]
+    assert {i for i, _ in gone} == {2} and sum(n for _, n in gone) > 30
