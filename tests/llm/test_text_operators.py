@@ -428,6 +428,35 @@ def test_frequent_pre_tokens_are_of_all_partitions(spark):
     assert " epsilon" in token_count._frequent(long, "doc_id", "text", t, [], 100, 200)
 
 
+def test_least_elements_are_shared_and_few():
+    rng, classes = np.random.default_rng(4), jaccard_join.Classes(4, 5)
+    sigs = lambda x: set(jaccard_join.signatures(np.array([len(x)]), np.array(sorted(x), np.uint64), classes)[1].tolist())
+    for n in (1, 4, 5, 6, 18, 19, 60, 199, 460):
+        for _ in range(10):
+            a = set(rng.integers(0, 1 << 62, n).tolist())
+            b = set(a)
+            while True:
+                b2 = set(list(b)[1:]) | ({int(rng.integers(0, 1 << 62))} if rng.random() < 0.5 else set())
+                if 5 * len(a & b2) < 4 * len(a | b2):
+                    break
+                b = b2
+            assert sigs(a) & sigs(b) and len(sigs(a)) <= 0.45 * n + 2
+            # Parities never put sets farther apart than they are, and put others far apart.
+            other = set(rng.integers(0, 1 << 62, n).tolist())
+            held = [jaccard_join.parities(np.array(sorted(x), np.uint64)) for x in (a, b, other)]
+            apart = jaccard_join.least_apart(held, np.array([0, 0]), np.array([1, 2]))
+            assert apart[0] <= len(a ^ b) and (n < 60 or apart[1] > 2 * n / 9)
+
+
+def test_sets_with_elements_in_common_only_are_not_moved(spark, monkeypatch):
+    common, asked = prose(21, 60), []
+    rows = [(i, f"{common} {prose(100 + i, 240)}") for i in range(40)] + [(100 + i, f"{prose(300, 200)} z{i}") for i in range(5)]
+    made = jaccard_join.wanted
+    monkeypatch.setattr(jaccard_join, "wanted", lambda nodes, *a, **b: (asked.append(nodes.count()), made(nodes, *a, **b))[1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_sets(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=4, den=5).collect()}
+    assert got == {i: 100 if i >= 100 else i for i, _ in rows} and asked == [5]
+
+
 def test_repeated_chunks_go_before_runs(spark, monkeypatch):
     seen, write = {}, line_dedup.Scratch.write
     monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: seen.setdefault(name, write(self, df, name)))
