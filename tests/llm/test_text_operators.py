@@ -466,3 +466,12 @@ def test_repeated_chunks_go_before_runs(spark, monkeypatch):
     assert got == {1: ("\n".join(f"line {i} of it" for i in range(60) if i not in (3, 4)), 2), 2: ("other\nlast", 61), None: ("line 3 of it\nline 4 of it", 0), 4: ("alone", 0)}
     gone = [(r._i, r.n) for r in seen["chunks"].collect()]
     assert {i for i, _ in gone} == {2} and sum(n for _, n in gone) > 30
+
+
+def test_groups_of_few_bytes_are_compared_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    s = list(range(2 * passage_dedup.SIDE + 1))
+    members = spark.createDataFrame([(part, node, 50, node, s) for part in range(30) for node in (1, 2)], "part long, node long, at int, component long, s array<int>")
+    got = passage_dedup._compared(members).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 30 and len({r.task for r in got}) > 3
